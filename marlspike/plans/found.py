@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.timestamps import with_instant
 from marlspike.operators.cdc import issue_state
+from marlspike.operators.shred import shred
 from marlspike.session import latest, load, small
 
 
@@ -37,3 +38,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["issue", "event", "label", "labels", "created_at", "assignees", "milestone", "rename"]
     events = latest(load(spark, sf_dir, "issue_event"), ["project", "id"], ["mod_time"], cols)
     return issue_state(zoned(events, spark, sf_dir, "created_at"))
+
+
+#: path -> the member of an element that is its leaf.
+P4_LEAVES = {"labels": "name", "assignees": "login", "reactions.groups": "content", "reactions.groups.users": "login"}
+P4_SET, P4_TAGS = "attention_set", "attention_set.account.tags"
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the nested members of tracker events and changes, with the place they come from."""
+    te = latest(load(spark, sf_dir, "tracker_event"), ["project", "issue", "api", "id"], ["mod_time"], ["json"])
+    te = te.select(F.concat(F.lit("tracker_event"), "api").alias("src"), "project", F.col("id").alias("rec_id"), "json")
+    keys = ["src", "project", "rec_id"]
+    a = shred(te, "json", keys, lists=list(P4_LEAVES), keep=list(P4_LEAVES))
+    member = F.create_map(*(F.lit(x) for kv in P4_LEAVES.items() for x in kv))
+    a = a.withColumn("leaf", F.coalesce(F.col("fields")[""], F.col("fields")[member[F.col("path")]])).filter("leaf IS NOT NULL")
+
+    ci = load(spark, sf_dir, "change_info").select("project", "number", "mod_time", F.to_json("attention_set", {"ignoreNullFields": "false"}).alias("json"))
+    ci = latest(ci, ["project", "number"], ["mod_time"]).select(F.lit("change_info").alias("src"), "project", F.col("number").alias("rec_id"), "json")
+    b = shred(ci, "json", keys, maps=[P4_SET], lists=[P4_TAGS], keep=[P4_SET, P4_TAGS], root=P4_SET).filter("kind <> 'null'")
+    leaf = F.when(F.col("path") == P4_SET, F.coalesce(F.col("fields")["account.email"], F.lit(""))).otherwise(F.col("fields")[""])
+    b = b.withColumn("leaf", leaf).filter("leaf IS NOT NULL")
+    return a.unionByName(b).select("src", "project", "rec_id", "path", "pos", "leaf")

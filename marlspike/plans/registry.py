@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from marlspike.plans import found
 
-QUERIES = {"p1_found": found.p1_found, "p5_found": found.p5_found}
+QUERIES = {"p1_found": found.p1_found, "p4_found": found.p4_found, "p5_found": found.p5_found}
 ORACLE: dict[str, str] = {}
