@@ -65,11 +65,10 @@ def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]
     """
     rest = [c for c in (columns or df.columns) if c not in keys]
     has_map = [c for c in rest if "map<" in dict(df.dtypes)[c]]
+    if not has_map:
+        top = F.max(F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("r")))
+        return df.groupBy(*keys).agg(top.alias("_row")).select(*keys, *(F.col(f"_row.r.{c}").alias(c) for c in rest))
     plain = [c for c in rest if c not in has_map]
-    tie = [F.xxhash64(*(F.to_json(F.struct(c)) for c in has_map))] if has_map else []
-    rank = F.struct(*(F.col(c) for c in order), *(F.struct(*(F.col(c) for c in plain)),) * bool(plain), *tie)
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), rank).alias("_row"))
-        .select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
-    )
+    tie = F.xxhash64(*(F.to_json(F.struct(c)) for c in has_map))
+    rank = F.struct(*order, *(F.struct(*plain),) * bool(plain), tie)
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
