@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.timestamps import with_instant
 from marlspike.llm import conversations as conv
+from marlspike.llm.neighbors import nearest
 from marlspike.plans.found import zoned
 from marlspike.session import cut, latest, load, small
 
@@ -53,5 +54,17 @@ def p2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("reciprocal").drop("reciprocal")
 
 
-QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions}
+def p3_neighbors(spark: SparkSession, sf_dir: str, min_score: float = -1.0) -> DataFrame:
+    """The five most similar other documents of every document with a usable vector."""
+    v = latest(load(spark, sf_dir, "doc_vector").filter("id IS NOT NULL"), ["id"], ["mod_time"], ["vec"])
+    return nearest(v, 64, k=5, min_score=min_score)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one is among the five most similar of the other, at a score of 0.90 or more."""
+    n = p3_neighbors(spark, sf_dir, 0.90)
+    return n.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
