@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.timestamps import with_instant
 from marlspike.llm import conversations as conv
+from marlspike.llm.leaks import leaks
 from marlspike.llm.neighbors import nearest
 from marlspike.plans.found import zoned
 from marlspike.session import cut, latest, load, small
@@ -66,5 +67,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document holds a passage of which evaluation item."""
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
