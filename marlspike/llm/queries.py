@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.timestamps import with_instant
 from marlspike.llm import conversations as conv
+from marlspike.llm import mixing
 from marlspike.llm.leaks import leaks
 from marlspike.llm.neighbors import nearest
+from marlspike.llm.subjects import subjects
 from marlspike.plans.found import zoned
 from marlspike.session import cut, latest, load, small
 
@@ -72,5 +74,47 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that fall short of their share within their repeats."""
+    return mixing.short_sources(mixing.source_sizes(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))).select("source")
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture as large as the corpus: per source the share asked for, the tempered and the reached share, repeats and blocks."""
+    docs = load(spark, sf_dir, "documents")
+    rows = [r.asDict() for r in mixing.source_sizes(docs, load(spark, sf_dir, "mix_target")).collect()]
+    total = float(rows[0]["total"]) if rows else 0.0
+    plan = mixing.budgets(rows, total)
+    sizes = {r["source"]: r["tokens"] for r in rows}
+    x = mixing.fit_exponent({k: float(v) for k, v in sizes.items() if v}, total, max_repeats={r["source"]: float(r["max_repeats"]) for r in rows})
+    share = sum(sizes.values())
+    tempered = mixing.temper({k: v / share for k, v in sizes.items()} if share else {}, x)
+    got = mixing.mix(docs, plan, sizes).groupBy("source").agg(F.sum("tokens").alias("taken"), F.max("copy").alias("most_copies"), F.countDistinct("block").alias("blocks"))
+    asked = spark.createDataFrame([(r["source"], r["source"].strip().lower(), r["target_share"], tempered.get(r["source"], 0.0), int(plan[r["source"]])) for r in rows], "name string, source string, target_share double, tempered_share double, budget bigint")
+    reached = got.agg(F.sum("taken").alias("_t"))
+    return asked.join(got, "source", "left").crossJoin(F.broadcast(reached)).select(F.col("name").alias("source"), "target_share", "tempered_share", "budget", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce(F.col("taken") / F.col("_t"), F.lit(0.0)).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r["subject"] for r in load(spark, sf_dir, "subject_area").filter("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]
+
+
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's subjects with their shares of its prose."""
+    return subjects(load(spark, sf_dir, "documents"), load(spark, sf_dir, "subject_label"), _areas(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that make up about a quarter or more of a document."""
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per subject, alone and beside others."""
+    s = p8_subjects(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("subject").alias("_s"))
+    return s.select(F.explode("_s").alias("subject"), (F.size("_s") == 1).alias("_one")).groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.count_if("_one").alias("docs_alone"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p6_found": p6_found,
+    "p7_found": p7_found, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_composition": p8_composition}
 ORACLE: dict[str, str] = {}
