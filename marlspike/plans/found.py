@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.functions.timestamps import with_instant
+from marlspike.functions.timestamps import _MONTHS, ABBREVIATIONS, CASCADE, with_instant
 from marlspike.operators.cdc import issue_state
 from marlspike.operators.shred import shred
 from marlspike.session import latest, load, small
@@ -60,3 +60,44 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = F.when(F.col("path") == P4_SET, F.coalesce(F.col("fields")["account.email"], F.lit(""))).otherwise(F.col("fields")[""])
     b = b.withColumn("leaf", leaf).filter("leaf IS NOT NULL")
     return a.unionByName(b).select("src", "project", "rec_id", "path", "pos", "leaf")
+
+
+# ---- SQL counterparts, for DuckDB
+
+
+def _instants(rows: str) -> str:
+    """CTEs that end in ``inst`` (all columns of ``rows``, u) where ``rows`` has the columns v and zone.
+
+    The texts are levelled by the same patterns; what they denote is worked out anew, with DuckDB's calendar.
+    """
+    case = " ".join(f"WHEN regexp_matches(t, '{p}') THEN regexp_replace(t, '{p}', '{_duck(to)}')" for _, p, to in CASCADE)
+    zones = "', '".join(sorted(ABBREVIATIONS))
+    minutes = ", ".join(str(ABBREVIATIONS[z]) for z in sorted(ABBREVIATIONS))
+    months = _MONTHS.replace("|", "")
+    return f"""rows AS ({rows}), a AS (SELECT *, trim(v, E' \\t\\r\\n') AS t FROM rows), b AS (SELECT *, string_split(CASE {case} END, '|') AS l FROM a),
+c AS (SELECT *, CASE WHEN length(l[1]) = 2 THEN 2000 + l[1]::INT ELSE try_cast(l[1] AS INT) END AS y, coalesce(try_cast(l[2] AS INT), (instr('{months}', lower(l[2])) + 2) // 3) AS mo, try_cast(l[3] AS INT) AS dd,
+ CASE WHEN l[8] = '' THEN try_cast(l[4] AS INT) WHEN try_cast(l[4] AS INT) BETWEEN 1 AND 12 THEN try_cast(l[4] AS INT) % 12 + CASE WHEN lower(l[8]) = 'pm' THEN 12 ELSE 0 END END AS h,
+ try_cast(l[5] AS INT) AS mi, coalesce(try_cast(l[6] AS INT), 0) AS se, coalesce(try_cast(rpad(l[7], 6, '0')[1:6] AS BIGINT), 0) AS us, replace(replace(nullif(l[9], ''), '[', ''), ']', '') AS z FROM b),
+d AS (SELECT *, CASE WHEN regexp_matches(z, '^[+-]') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (z[2:3]::INT * 60 + coalesce(try_cast(replace(z[4:], ':', '') AS INT), 0)) ELSE map(['{zones}'], [{minutes}])[upper(z)] END AS off,
+ CASE WHEN z IS NULL THEN zone WHEN contains(z, '/') THEN z END AS rg, h::BIGINT * 3600000000 + mi::BIGINT * 60000000 + se::BIGINT * 1000000 + us AS clock FROM c),
+e AS (SELECT *, unnest([try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, mo, dd) AS DATE), CASE WHEN l[11] = 'two' THEN try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, dd, mo) AS DATE) END]) AS day FROM d WHERE y > 1 AND h < 24 AND mi < 60 AND se < 60),
+f AS (SELECT *, make_timestamp(epoch_us(day) + clock) AS loc FROM e WHERE day IS NOT NULL),
+g AS (SELECT *, CASE WHEN off IS NOT NULL THEN [epoch_us(loc) - off::BIGINT * 60000000] WHEN rg IS NOT NULL THEN list_distinct(list_filter([epoch_us(timezone(rg, loc)), epoch_us(timezone(rg, loc)) - 3600000000, epoch_us(timezone(rg, loc)) + 3600000000], lambda x: timezone(rg, make_timestamptz(x)) = loc)) ELSE [] END AS us_ FROM f),
+p AS (SELECT DISTINCT v, zone, unnest(us_) AS u FROM g), one AS (SELECT v, zone, min(u) AS u FROM p GROUP BY ALL HAVING count(*) = 1),
+inst AS (SELECT a.* EXCLUDE (t), CASE WHEN regexp_matches(t, '^[0-9]{{9,10}}(\\.[0-9]+)?$') THEN split_part(t, '.', 1)::BIGINT * 1000000 + rpad(split_part(t, '.', 2), 6, '0')[1:6]::BIGINT WHEN regexp_matches(t, '^[0-9]{{13}}$') THEN t::BIGINT * 1000 WHEN regexp_matches(t, '^[0-9]{{16}}$') THEN t::BIGINT ELSE one.u END AS u FROM a LEFT JOIN one ON a.v = one.v AND a.zone IS NOT DISTINCT FROM one.zone)"""
+
+
+def _duck(to: str) -> str:
+    return to.replace("$", "\\")
+
+
+P1_SQL = f"""WITH {_instants("SELECT 'issue_event' AS src, project, id AS rec_id, created_at AS v, time_zone AS zone FROM issue_event LEFT JOIN project_site USING (project) UNION ALL SELECT 'discussion', project, number, created_at, time_zone FROM discussion LEFT JOIN project_site USING (project) UNION ALL SELECT 'change_info', project, number, updated, 'UTC' FROM change_info")}
+SELECT DISTINCT src, project, rec_id, u AS instant_us FROM inst WHERE u IS NOT NULL AND NOT regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$')"""
+
+P5_SQL = f"""WITH {_instants("SELECT i.*, created_at AS v, time_zone AS zone FROM (SELECT *, row_number() OVER (PARTITION BY project, id ORDER BY mod_time DESC) rn FROM issue_event) i LEFT JOIN project_site USING (project) WHERE rn = 1")},
+cells AS (SELECT project, issue, u, id, 'label' AS item_kind, x AS field, CASE WHEN event = 'labeled' THEN x END AS val FROM (SELECT *, unnest(list_distinct(list_transform(list_append(list_transform(coalesce(labels, []), lambda q: q.name), label.name), lambda q: lower(trim(q, ' '))))) AS x FROM inst WHERE event IN ('labeled', 'unlabeled')) WHERE x <> ''
+UNION ALL SELECT project, issue, u, id, 'assignee', x, CASE WHEN event = 'assigned' THEN x END FROM (SELECT *, unnest(list_distinct(list_transform(assignees, lambda q: lower(q.login)))) AS x FROM inst WHERE event IN ('assigned', 'unassigned')) WHERE x <> ''
+UNION ALL SELECT project, issue, u, id, 'state', '', CASE WHEN event = 'closed' THEN 'closed' ELSE 'open' END FROM inst WHERE event IN ('closed', 'reopened')
+UNION ALL SELECT project, issue, u, id, 'milestone', '', CASE WHEN event = 'milestoned' THEN milestone.title END FROM inst WHERE event = 'demilestoned' OR (event = 'milestoned' AND milestone.title IS NOT NULL)
+UNION ALL SELECT project, issue, u, id, 'title', '', "rename"."to" FROM inst WHERE event = 'renamed' AND "rename"."to" IS NOT NULL)
+SELECT project, issue, item_kind, val AS item FROM (SELECT *, row_number() OVER (PARTITION BY project, issue, item_kind, field ORDER BY u DESC, id DESC) k FROM cells WHERE u IS NOT NULL) WHERE k = 1 AND val IS NOT NULL AND (project, issue) NOT IN (SELECT (project, issue) FROM inst WHERE event = 'deleted')"""

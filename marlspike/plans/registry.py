@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlspike.plans import found
+from marlspike.plans import core, found
 
-QUERIES = {"p1_found": found.p1_found, "p4_found": found.p4_found, "p5_found": found.p5_found}
-ORACLE: dict[str, str] = {}
+QUERIES = core.QUERIES | {"p1_found": found.p1_found, "p4_found": found.p4_found, "p5_found": found.p5_found}
+ORACLE = core.ORACLE | {"p1_found": found.P1_SQL, "p5_found": found.P5_SQL}
