@@ -101,3 +101,35 @@ UNION ALL SELECT project, issue, u, id, 'state', '', CASE WHEN event = 'closed'
 UNION ALL SELECT project, issue, u, id, 'milestone', '', CASE WHEN event = 'milestoned' THEN milestone.title END FROM inst WHERE event = 'demilestoned' OR (event = 'milestoned' AND milestone.title IS NOT NULL)
 UNION ALL SELECT project, issue, u, id, 'title', '', "rename"."to" FROM inst WHERE event = 'renamed' AND "rename"."to" IS NOT NULL)
 SELECT project, issue, item_kind, val AS item FROM (SELECT *, row_number() OVER (PARTITION BY project, issue, item_kind, field ORDER BY u DESC, id DESC) k FROM cells WHERE u IS NOT NULL) WHERE k = 1 AND val IS NOT NULL AND (project, issue) NOT IN (SELECT (project, issue) FROM inst WHERE event = 'deleted')"""
+
+
+def _list(x: str) -> str:
+    """SQL: the elements of a JSON value, whatever the list is wrapped in."""
+    flat = lambda y, rest: f"CASE json_type({y}) WHEN 'ARRAY' THEN json_extract({y}, '$[*]') WHEN 'NULL' THEN [] {rest} END"
+    inner = f"json_extract({x}, '$.nodes')"
+    wrapped = flat(inner, f"ELSE [{inner}]")
+    return f"coalesce({flat(x, f'''WHEN 'OBJECT' THEN CASE WHEN {inner} IS NOT NULL THEN {wrapped} ELSE [{x}] END ELSE [{x}]''')}, [])"
+
+
+def _leaf(e: str, member: str) -> str:
+    return f"CASE json_type({e}) WHEN 'OBJECT' THEN json_extract_string({e}, '$.{member}') WHEN 'NULL' THEN NULL ELSE json_extract_string({e}, '$') END"
+
+
+def _member(name: str) -> str:
+    return f"coalesce(json_extract(j, '$.{name}'), json_extract(j, '$.{name.capitalize()}'))"
+
+
+P4_SQL = f"""WITH te AS (SELECT 'tracker_event' || api AS src, project, id AS rec_id, ltrim(replace(ltrim(json, chr(65279)), ')]}}''' || chr(10), ''), E' \\n\\r\\t') AS t FROM tracker_event QUALIFY row_number() OVER (PARTITION BY project, issue, api, id ORDER BY mod_time DESC) = 1),
+a AS (SELECT *, CASE WHEN json_valid(t) THEN CASE WHEN json_type(t::JSON) = 'VARCHAR' THEN json_extract_string(t::JSON, '$') ELSE t END END AS s FROM te),
+b AS (SELECT src, project, rec_id, CASE WHEN json_valid(s) THEN s::JSON END AS j FROM a),
+tops AS (SELECT src, project, rec_id, 'labels' AS path, {_list(_member("labels"))} AS l FROM b WHERE j IS NOT NULL UNION ALL SELECT src, project, rec_id, 'assignees', {_list(_member("assignees"))} FROM b WHERE j IS NOT NULL
+UNION ALL SELECT src, project, rec_id, 'reactions.groups', {_list("json_extract(j, '$.reactions.groups')")} FROM b WHERE j IS NOT NULL),
+el AS (SELECT src, project, rec_id, path, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS k FROM tops),
+us AS (SELECT src, project, rec_id, k, {_list("json_extract(e, '$.users')")} AS l FROM el WHERE path = 'reactions.groups' AND json_type(e) = 'OBJECT'),
+ue AS (SELECT src, project, rec_id, k, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS k2 FROM us),
+ci AS (SELECT project, number, map_entries(attention_set) AS m FROM change_info QUALIFY row_number() OVER (PARTITION BY project, number ORDER BY mod_time DESC) = 1),
+ce AS (SELECT project, number, unnest(m) AS x FROM ci), tg AS (SELECT project, number, x.key AS key, unnest(x.value.account.tags) AS tag, generate_subscripts(x.value.account.tags, 1) - 1 AS k FROM ce WHERE x.value IS NOT NULL)
+SELECT src, project, rec_id, path, k::VARCHAR AS pos, CASE path WHEN 'labels' THEN {_leaf("e", "name")} WHEN 'assignees' THEN {_leaf("e", "login")} ELSE {_leaf("e", "content")} END AS leaf FROM el WHERE leaf IS NOT NULL
+UNION ALL SELECT src, project, rec_id, 'reactions.groups.users', k || '.' || k2, {_leaf("e", "login")} AS lf FROM ue WHERE lf IS NOT NULL
+UNION ALL SELECT 'change_info', project, number, 'attention_set', x.key::VARCHAR, coalesce(x.value.account.email, '') FROM ce WHERE x.value IS NOT NULL
+UNION ALL SELECT 'change_info', project, number, 'attention_set.account.tags', key || '.' || k, tag FROM tg WHERE tag IS NOT NULL"""
