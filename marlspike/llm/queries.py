@@ -117,4 +117,24 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p6_found": p6_found,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_composition": p8_composition}
-ORACLE: dict[str, str] = {}
+_REF = r"^(https?:)?//[^/]+/+(repos/+)?([^/?#]+)/+([^/?#]+)/+discussions/+([0-9]+)([/?#].*)?$"
+
+ORACLE: dict[str, str] = {
+    "p2_found": rf"""WITH RECURSIVE c AS (SELECT * FROM (SELECT *, regexp_extract(url, '([0-9]+)$', 1)::BIGINT AS id FROM discussion_comment) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, mod_time DESC) = 1),
+d AS (SELECT project, number, lower(author.login) AS asker FROM discussion QUALIFY row_number() OVER (PARTITION BY project, number ORDER BY mod_time DESC) = 1),
+k AS (SELECT lower(login) AS login, CASE WHEN bool_or(kind = 'bot') THEN 'bot' WHEN bool_or(kind = 'maintainer') THEN 'maintainer' END AS kind FROM account WHERE login IS NOT NULL GROUP BY 1),
+m AS (SELECT d.project, d.number AS discussion, c.id, try_cast(nullif(regexp_extract(reply_to_url, '#discussioncomment-([0-9]+)$', 1), '') AS BIGINT) AS parent, epoch_us(try_cast(created_at AS TIMESTAMPTZ)) AS at,
+ CASE WHEN lower(c.author.login) = d.asker THEN 'asker' ELSE coalesce(k.kind, 'participant') END AS role
+ FROM c JOIN d ON lower(regexp_extract(discussion_url, '{_REF}', 3) || '/' || regexp_extract(discussion_url, '{_REF}', 4)) = lower(d.project) AND try_cast(regexp_extract(discussion_url, '{_REF}', 5) AS BIGINT) = d.number LEFT JOIN k ON k.login = lower(c.author.login)
+ WHERE regexp_matches(body, '[^\s\pZ\x{{85}}]')),
+s AS (SELECT m.project, m.discussion, count(*) AS n FROM m LEFT JOIN m p ON p.id = m.parent AND p.project = m.project AND p.discussion = m.discussion GROUP BY 1, 2
+ HAVING bool_and(m.at IS NOT NULL AND (m.parent IS NULL OR coalesce(p.at <= m.at, false))) AND bool_or(m.role IN ('maintainer', 'participant'))),
+t AS (SELECT m.project, m.discussion, m.id, m.role, [{{'at': m.at, 'id': m.id}}] AS path FROM m JOIN s USING (project, discussion) WHERE m.parent IS NULL
+ UNION ALL SELECT m.project, m.discussion, m.id, m.role, list_append(t.path, {{'at': m.at, 'id': m.id}}) FROM m JOIN t ON m.parent = t.id AND m.project = t.project AND m.discussion = t.discussion)
+SELECT t.project, t.discussion, row_number() OVER (PARTITION BY t.project, t.discussion ORDER BY path) AS turn_no, t.id AS comment_id, t.role AS speaker_role
+FROM t JOIN s USING (project, discussion) WHERE s.n = (SELECT count(*) FROM t q WHERE q.project = t.project AND q.discussion = t.discussion)""",
+    "p3_found": """WITH l AS (SELECT id, vec::DOUBLE[] AS v FROM (SELECT id, vec, row_number() OVER (PARTITION BY id ORDER BY mod_time DESC) r FROM doc_vector) WHERE r = 1 AND len(vec) = 64
+ AND list_aggregate(list_transform(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x)), 'bool_or') = false AND list_aggregate(list_transform(vec, lambda x: x <> 0), 'bool_or')),
+n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS w FROM l), s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / a.w / b.w AS s FROM n a JOIN n b ON a.id <> b.id),
+t AS (SELECT a, b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) r FROM s WHERE s >= 0.9) WHERE r <= 5) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t""",
+}
