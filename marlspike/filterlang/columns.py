@@ -9,6 +9,8 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,10 +79,27 @@ def _literal(kind: T.DataType, s: str):
     raise ValueError(s)
 
 
-def _yes(c: Column) -> Column:
+#: Whether parts may be null for false, as in a filter outside of any negation; only such comparisons reach the scan.
+_loose: ContextVar[bool] = ContextVar("loose", default=False)
+
+
+@contextmanager
+def _nulls(allowed: bool):
+    was = _loose.set(allowed)
+    try:
+        yield
+    finally:
+        _loose.reset(was)
+
+
+def _two(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _yes(c: Column) -> Column:
+    return c if _loose.get() else _two(c)
+
+
 def _text_test(op: str, w: Word) -> Callable[[Column], Column]:
     if op in ("=~", "!~"):
         pattern = re.sub(r"^\(\?i\)", "(?iu)", w.text)
@@ -109,7 +128,7 @@ def _text_test(op: str, w: Word) -> Callable[[Column], Column]:
             return _yes(test(c) | ((F.size(words) > 1) & F.exists(words, test)))
 
         return has
-    return (lambda c: ~_yes(test(c))) if op == "!=" else (lambda c: _yes(test(c)))
+    return (lambda c: ~_two(test(c))) if op == "!=" else (lambda c: _yes(test(c)))
 
 
 def _present(kind: T.DataType, c: Column) -> Column:
@@ -193,7 +212,8 @@ class _Compiler:
             a, b = self.right(e.left, one), self.right(e.right, one)
             return a & b if e.op == "AND" else a | b
         if isinstance(e, Not):
-            return ~self.right(e.sub, one)
+            with _nulls(False):
+                return ~self.right(e.sub, one)
         if isinstance(e, Path):
             return one(Word(".".join(e.parts), at=e.at))
         if isinstance(e, Word):
@@ -210,7 +230,7 @@ class _Compiler:
             for f in kind.fields:
                 try:
                     if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-                        parts.append(_test(":", f.dataType, w)(c.getField(f.name)))
+                        parts.append(_two(_test(":", f.dataType, w)(c.getField(f.name))))
                 except _NoFit:
                     pass
             if not parts:
@@ -253,7 +273,8 @@ class _Compiler:
             a, b = self.build(e.left), self.build(e.right)
             return a & b if e.op == "AND" else a | b
         if isinstance(e, Not):
-            return ~self.build(e.sub)
+            with _nulls(False):
+                return ~self.build(e.sub)
         try:
             if isinstance(e, Compare):
                 return self.compare(e)
@@ -295,5 +316,7 @@ def compile_filter(text: str, schema: T.StructType, derived: dict[str, tuple[T.D
 
 
 def filter_rows(df: DataFrame, text: str, derived: dict[str, tuple[T.DataType, Column]] | None = None) -> DataFrame:
-    """The rows of ``df`` that a filter text keeps; it compiles to built-in expressions, so pushdown still works."""
-    return df.filter(compile_filter(text, df.schema, derived)[0])
+    """The rows of ``df`` that a filter text keeps; comparisons outside of negations stay plain, so they reach the scan."""
+    with _nulls(True):
+        kept = compile_filter(text, df.schema, derived)[0]
+    return df.filter(kept)
