@@ -92,7 +92,7 @@ def candidates(vectors: DataFrame, dim: int, k: int, min_score: float, curves: i
         np.fill_diagonal(s, -2)
         m = min(k, len(u) - 1)
         if m < 1:
-            return pd.DataFrame({"id": [], "other": [], "score": []})
+            return pd.DataFrame({"id": ids[:0], "other": ids[:0], "score": np.zeros(0)})
         top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(u) - 1 else np.argsort(-s, axis=1)[:, :m]
         a = np.repeat(np.arange(len(u)), m)
         b = top.ravel()
