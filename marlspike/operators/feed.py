@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.operators.ordered import running_sum
 from marlspike.session import small
 
 
@@ -99,8 +100,7 @@ def feed_time_after(log: DataFrame, times: DataFrame, wall: str, mod_time: str,
 
 def running_sum_keep(df: DataFrame, group: list[str], order: list[str], size: Column, limit: int) -> DataFrame:
     """DP-6: the leading rows of each group whose sizes add up to less than ``limit``."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_s", F.sum(size).over(w)).filter(F.col("_s") < limit).drop("_s")
+    return running_sum(df, group, order, size, "_s").filter(F.col("_s") < limit).drop("_s")
 
 
 def label_merge(have: DataFrame, want: DataFrame) -> DataFrame:

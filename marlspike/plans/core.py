@@ -11,6 +11,7 @@ from marlspike.filterlang import compile_filter, filter_rows
 from marlspike.functions import text as tx
 from marlspike.operators import docs as dp
 from marlspike.operators import feed, reviews, vectors
+from marlspike.operators.ordered import running_sum
 from marlspike.session import latest, load, small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,9 +408,9 @@ def overview_old_new(spark, d):
 @query("SELECT project, issue, id, CASE WHEN event = 'labeled' THEN '+' ELSE '-' END || label.name AS step, sum(CASE WHEN event = 'labeled' THEN 1 ELSE -1 END) OVER (PARTITION BY project, issue ORDER BY id, mod_time ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM issue_event WHERE event IN ('labeled', 'unlabeled') AND label.name <> ''")
 def label_history(spark, d):
     e = load(spark, d, "issue_event").filter("event IN ('labeled', 'unlabeled') AND label.name <> ''")
-    w = Window.partitionBy("project", "issue").orderBy("id", "mod_time").rowsBetween(Window.unboundedPreceding, 0)
     up = F.col("event") == "labeled"
-    return e.select("project", "issue", "id", F.concat(F.when(up, "+").otherwise("-"), "label.name").alias("step"), F.sum(F.when(up, 1).otherwise(-1)).over(w).alias("running"))
+    steps = e.select("project", "issue", "id", "mod_time", F.concat(F.when(up, "+").otherwise("-"), "label.name").alias("step"), F.when(up, 1).otherwise(-1).alias("by"))
+    return running_sum(steps, ["project", "issue"], ["id", "mod_time"], F.col("by"), "running").drop("by", "mod_time")
 
 
 @query("SELECT s.subject, count(*) AS labelled, count(*) FILTER (WHERE contains(lower(d.text), s.subject)) AS hits, round(100.0 * count(*) FILTER (WHERE contains(lower(d.text), s.subject)) / count(*), 3) AS percent FROM (SELECT DISTINCT doc_id, subject FROM subject_label WHERE subject IS NOT NULL) s JOIN documents d USING (doc_id) GROUP BY s.subject")

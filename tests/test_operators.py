@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlspike.functions import text as tx
 from marlspike.operators import docs as dp
 from marlspike.operators import feed, reviews, vectors
+from marlspike.operators.ordered import running_sum
 
 
 def test_range_scan_and_ops(spark):
@@ -46,6 +47,13 @@ def test_feed_time_after(spark):
     assert {r.q: r.feed_time for r in got} == {0: 1, day + 4: 1, day + 5: 2, day + 9: 3, 2 * day: 3, 4 * day: None, 9 * day: None}
 
 
+def test_running_sums_of_a_hot_group(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"), F.xxhash64("id").alias("k"), (F.col("id") % 7 - 3).alias("v"))
+    got = running_sum(rows, ["g"], ["k"], F.col("v"), "s").toPandas().fillna({"g": "?"}).sort_values(["g", "k"])
+    assert (got.groupby("g")["v"].cumsum() == got["s"]).all() and len(got) == 3000
+    assert running_sum(rows.limit(0), ["g"], ["k"], F.col("v"), "s").collect() == []
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0, 0.0]), (4, [1.0]), (5, None), (6, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "id int, vec array<float>")
