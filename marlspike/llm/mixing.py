@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.session import small
+from marlspike.session import cut, small
 
 #: Where the public tokenizers lie; a parameter of every operator that counts tokens.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -69,6 +69,7 @@ def source_sizes(docs: DataFrame, targets: DataFrame, **tokens) -> DataFrame:
     """
     sized = token_counts(docs.select("source", "text"), **tokens)
     have = sized.groupBy(source_key(F.col("source")).alias("_k")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    have = cut(have)  # a row per source name; read twice below, and counting tokens once is what costs
     t = targets.select("source", "weight", "max_repeats", source_key(F.col("source")).alias("_k"))
     t = t.crossJoin(F.broadcast(t.agg(F.sum("weight").alias("_w")))).crossJoin(F.broadcast(have.agg(F.sum("tokens").alias("total"))))
     return t.join(have, "_k", "left").select("source", "weight", (F.col("weight") / F.col("_w")).alias("target_share"), "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("total", F.lit(0)).alias("total"))
