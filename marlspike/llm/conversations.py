@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspike.operators.ordered import rank_in
 from marlspike.session import cut
 
 _DISCUSSION = r"(?i)^(?:https?:)?//[^/]+/+(?:repos/+)?([^/?#]+)/+([^/?#]+)/+discussions/+(\d+)(?:[/?#].*)?$"
@@ -61,8 +62,6 @@ def sessionize(messages: DataFrame, channel: list[str], gap_us: int) -> DataFram
     """
     bucket = F.floor(F.col("at") / F.lit(gap_us))
     ends = messages.filter("at IS NOT NULL").groupBy(*channel, bucket.alias("_b")).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*channel).orderBy("_b")
     breaks = F.when(F.col("_lo") - F.lag("_hi").over(w) > gap_us, 1).otherwise(0)
     numbered = ends.withColumn("_x", breaks).select(*channel, "_b", (F.sum("_x").over(w) + 1).alias("session_no"))
@@ -89,23 +88,6 @@ def reply_paths(messages: DataFrame, channel: list[str]) -> DataFrame:
     return messages.join(good, [*channel, "id"])
 
 
-def rank_in(rows: DataFrame, channel: list[str], order: list[str], out: str) -> DataFrame:
-    """``rows`` with their place from 1 within ``channel`` by ``order``, for channels of any size.
-
-    A range sort cuts hot channels into pieces; a row's place is its place in its piece plus the sizes of the
-    pieces before, of which there are at most as many as partitions.
-    """
-    from pyspark.sql import Window
-
-    spread = rows.repartitionByRange(*channel, *order).withColumn("_pid", F.spark_partition_id())
-    spread = cut(spread)
-    pieces = spread.groupBy(*channel, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*channel).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(*channel, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*channel, "_pid").orderBy(*order)
-    return spread.join(pieces, [*channel, "_pid"]).withColumn(out, (F.col("_before") + F.row_number().over(inside)).cast("bigint")).drop("_pid", "_before")
-
-
 def conversations(messages: DataFrame, channel: list[str]) -> DataFrame:
     """Sound conversations as (channel keys, turn_no, comment_id, speaker_role).
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspike.llm.conversations import rank_in
+from marlspike.operators.ordered import rank_in
 from marlspike.session import cut
 
 
