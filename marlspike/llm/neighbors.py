@@ -2,7 +2,8 @@
 
 Unit vectors are turned and projected at random onto a few dimensions, once per curve; every curve orders them by
 their place on a shifted Hilbert curve. Runs of neighbouring keys are scored against each other as one matrix
-product, runs overlap so that no window is cut, and the lists of all curves merge into the best k.
+product, runs overlap so that no window is cut, and the lists of all curves merge into the best k. Vectors whose
+neighbours came up on few curves lie in crowds too large for such runs and are searched once more in far larger ones.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspike.operators.ordered import rank_in
@@ -77,32 +78,71 @@ def curve_keys(vectors: DataFrame, dim: int, curves: int, dims: int, bits: int,
     return vectors.select("id", "vec").mapInPandas(run, "curve int, key bigint, id string")
 
 
-def candidates(vectors: DataFrame, dim: int, k: int, min_score: float, curves: int, dims: int, bits: int, block: int, overlap: int, seed: int, spread: float) -> DataFrame:
-    """(id, other, score): for every vector its best ``k`` in each run of each curve, not below ``min_score``."""
+def _largest(s: np.ndarray, m: int, group: int = 64) -> np.ndarray:
+    """The columns of the ``m`` largest entries of each row, in any order."""
+    n = s.shape[1]
+    if m >= n:
+        return np.broadcast_to(np.arange(n), s.shape)
+    if n < 4 * group * m:
+        return np.argpartition(-s, m - 1, axis=1)[:, :m]
+    # The m largest lie in the m groups of columns whose maxima are largest; what is left over is a group of its own.
+    whole = n // group * group
+    tops = s[:, :whole].reshape(len(s), -1, group).max(axis=2)
+    g = np.argpartition(-tops, m - 1, axis=1)[:, :m]
+    at = (g[:, :, None] * group + np.arange(group)).reshape(len(s), -1)
+    at = np.hstack([at, np.broadcast_to(np.arange(whole, n), (len(s), n - whole))])
+    best = np.argpartition(-np.take_along_axis(s, at, axis=1), m - 1, axis=1)[:, :m]
+    return np.take_along_axis(at, best, axis=1)
+
+
+def candidates(vectors: DataFrame, dim: int, k: int, min_score: float, curves: int, dims: int, bits: int, block: int, overlap: int, seed: int, spread: float, parts: int = 1) -> DataFrame:
+    """(id, other, score, curve): for every vector its best ``k`` in each run of each curve, not below ``min_score``.
+
+    ``vectors``: ``id``, ``vec`` and, if only some are asked for, ``ask``. A run is scored by ``parts`` tasks.
+    """
+    ask = F.col("ask") if "ask" in vectors.columns else F.lit(True)
     ranked = rank_in(curve_keys(vectors, dim, curves, dims, bits, seed, spread), ["curve"], ["key", "id"], "n")
     runs = F.array_distinct(F.array(F.floor(F.col("n") / block), F.floor((F.col("n") + overlap) / block)))
-    rows = ranked.select("id", "curve", F.explode(runs).alias("run")).join(vectors.select("id", "vec"), "id")
+    rows = ranked.select("id", "curve", F.explode(runs).alias("run")).join(vectors.select("id", "vec", ask.alias("mine")), "id")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("mine", F.col("mine") & (F.pmod(F.xxhash64("id"), F.lit(parts)) == F.col("part")))
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # One order whatever order the rows arrive in, so that a task run again gives the same rows.
         pdf = pdf.sort_values("id", ignore_index=True)
-        u, ids = _unit(pdf["vec"]), pdf["id"].to_numpy()
-        flat = u.astype(np.float32)
-        s = flat @ flat.T
-        np.fill_diagonal(s, -2)
-        m = min(k, len(u) - 1)
-        if m < 1:
-            return pd.DataFrame({"id": ids[:0], "other": ids[:0], "score": np.zeros(0)})
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(u) - 1 else np.argsort(-s, axis=1)[:, :m]
-        a = np.repeat(np.arange(len(u)), m)
-        b = top.ravel()
-        near = s[a, b] >= min_score - 1e-4
-        a, b = a[near], b[near]
-        exact = np.einsum("ij,ij->i", u[a], u[b])
-        keep = exact >= min_score
-        return pd.DataFrame({"id": ids[a[keep]], "other": ids[b[keep]], "score": exact[keep]})
-
-    return rows.groupBy("curve", "run").applyInPandas(best, "id string, other string, score double")
+        ids, asked = pdf["id"].to_numpy(), np.flatnonzero(pdf["mine"])
+        v = np.stack(pdf["vec"].to_numpy())
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
+        flat = (v / norm[:, None]).astype(np.float32)
+        m = min(k, len(v) - 1)
+        out = [pd.DataFrame({"id": ids[:0], "other": ids[:0], "score": np.zeros(0)})]
+        step = max(64, (1 << 22) // len(v))
+        for i in range(0, len(asked) if m else 0, step):
+            q = asked[i : i + step]
+            s = flat[q] @ flat.T
+            s[np.arange(len(q)), q] = -2
+            top = _largest(s, m)
+            a, b = np.repeat(q, m), top.ravel()
+            near = np.take_along_axis(s, top, axis=1).ravel() >= min_score - 1e-4
+            a, b = a[near], b[near]
+            exact = np.einsum("ij,ij->i", v[a], v[b], dtype=np.float64) / norm[a] / norm[b]
+            keep = (exact >= min_score) & (a != b)
+            out.append(pd.DataFrame({"id": ids[a[keep]], "other": ids[b[keep]], "score": exact[keep]}))
+        return pd.concat(out, ignore_index=True).assign(curve=np.int32(key[0]))
+
+    return rows.groupBy("curve", "run", "part").applyInPandas(best, "id string, other string, score double, curve int")
+
+
+def crowded(reps: DataFrame, found: DataFrame, sure: float) -> DataFrame:
+    """(id, vec, ask): the vectors whose neighbours came up on fewer than ``sure`` curves on average, and those neighbours.
+
+    A neighbour that lies beside its vector on many of the curves can hardly be missed by all of them. In a crowd the
+    best ones come up on one curve or two, so as many others came up on none.
+    """
+    weak = cut(found.groupBy("id").agg(F.avg("hits").alias("_h")).filter(F.col("_h") < sure).select("id"))
+    near = found.join(weak, "id", "left_semi").select(F.col("other").alias("id"), F.lit(False).alias("ask"))
+    who = weak.withColumn("ask", F.lit(True)).unionByName(near).groupBy("id").agg(F.max("ask").alias("ask"))
+    return reps.join(who, "id").select("id", "vec", "ask")
 
 
 def nearest(
@@ -117,6 +157,9 @@ def nearest(
     overlap: int = 192,
     seed: int = 7,
     spread: float = 1.0,
+    sure: float = 6.0,
+    wide: int = 131_072,
+    wide_curves: int = 8,
 ) -> DataFrame:
     """For every row of ``df`` (``id`` unique, ``vec``) its ``k`` most similar others: (id, other, rank, score).
 
@@ -124,15 +167,29 @@ def nearest(
     null, of another length, zero or not finite are left out; other columns are ignored; an empty table gives an
     empty one. Equal vectors are searched once: copies of each other score 1 and lead each other's lists, however
     many there are. Approximate: a neighbour is found if it lies within ``overlap`` places on any of the
-    ``curves`` (all pairs of up to ``block`` rows are scored exactly); the tests measure recall.
+    ``curves`` (all pairs of up to ``block`` rows are scored exactly); the tests measure recall. Vectors whose
+    neighbours came up on fewer than ``sure`` curves lie in a crowd and are searched again: up to ``wide`` of them
+    all against all, more in runs of ``wide`` on ``wide_curves`` finer curves, each run split over tasks.
     """
     vectors = cut(usable(df.select("id", "vec"), dim))
     klass = vectors.groupBy("vec").agg(F.min("id").alias("klass"), F.count(F.lit(1)).alias("copies"))
     klass = cut(klass)
     reps = klass.select(F.col("klass").alias("id"), "vec")
-    found = candidates(reps, dim, k, min_score, curves, dims, bits, block, overlap, seed, spread).groupBy("id", "other").agg(F.max("score").alias("score"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    found = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
+
+    def merge(rows: DataFrame, *more: Column) -> DataFrame:
+        each = rows.groupBy("id", "other").agg(F.max("score").alias("score"), *more)
+        return each.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
+
+    found = candidates(reps, dim, k, min_score, curves, dims, bits, block, overlap, seed, spread)
+    found = cut(merge(found, F.countDistinct("curve").alias("hits")))
+    again = cut(crowded(reps, found, min(sure, curves)))
+    n = again.count()
+    if n > 1:
+        one = n <= wide
+        size, lap = (n + 1, 0) if one else (wide, wide * 3 // 8)
+        second = candidates(again, dim, k, min_score, 1 if one else wide_curves, 4, 15, size, lap, seed + 1, spread, min(12, -(-size // 4096)))
+        found = merge(found.select("id", "other", "score").unionByName(second.select("id", "other", "score")))
 
     member = vectors.join(klass, "vec").select("klass", "id", "copies")
     first = Window.partitionBy("klass").orderBy("id")

@@ -1,6 +1,7 @@
 import numpy as np
+import pandas as pd
 
-from marlspike.llm.neighbors import hilbert_key, nearest
+from marlspike.llm.neighbors import _largest, hilbert_key, nearest
 
 
 def test_curve_visits_neighbours():
@@ -51,3 +52,35 @@ def test_copies_ties_and_unusable(spark):
 def test_empty_and_single(spark):
     assert nearest(spark.createDataFrame([], "id string, vec array<float>"), 64).collect() == []
     assert nearest(spark.createDataFrame([("x", [1.0] * 64)], "id string, vec array<float>"), 64).collect() == []
+
+
+def test_recall_in_a_crowd_with_production_parameters(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    crowd = centre / np.linalg.norm(centre) + 0.02 * rng.standard_normal((12000, 64))
+    v = np.vstack([crowd, rng.standard_normal((3000, 64))]).astype(np.float32)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    s = u[:1000] @ u.T
+    s[np.arange(1000), np.arange(1000)] = -2
+    want = {(f"{i:05}", f"{j:05}") for i in range(1000) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    rows = spark.createDataFrame(pd.DataFrame({"id": [f"{i:05}" for i in range(len(v))], "vec": list(v)}), "id string, vec array<float>")
+    found = {(r.id, r.other) for r in nearest(rows, 64, 5, 0.9).filter("id < '01000'").collect()}
+    assert len(want) == 5000 and len(found & want) / len(want) >= 0.98
+
+
+def test_crowds_wider_than_a_run(spark):
+    rng = np.random.default_rng(6)
+    v = (np.ones(64) + 0.01 * rng.standard_normal((6000, 64))).astype(np.float32)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    s = u[:500] @ u.T
+    s[np.arange(500), np.arange(500)] = -2
+    want = {(f"{i:05}", f"{j:05}") for i in range(500) for j in np.argsort(-s[i])[:5]}
+    rows = spark.createDataFrame(pd.DataFrame({"id": [f"{i:05}" for i in range(len(v))], "vec": list(v)}), "id string, vec array<float>")
+    found = {(r.id, r.other) for r in nearest(rows, 64, 5, 0.9, block=128, overlap=48, wide=2500).filter("id < '00500'").collect()}
+    assert len(found & want) / len(want) >= 0.9
+
+
+def test_largest_by_groups():
+    s = np.random.default_rng(2).standard_normal((20, 3001)).astype(np.float32)
+    want = np.sort(np.argsort(-s, axis=1)[:, :5], axis=1)
+    assert (np.sort(_largest(s, 5), axis=1) == want).all()
