@@ -68,6 +68,21 @@ def sessionize(messages: DataFrame, channel: list[str], gap_us: int) -> DataFram
     return messages.withColumn("_b", bucket).join(numbered, [*channel, "_b"], "left").drop("_b")
 
 
+def reciprocal_sessions(sessions: DataFrame, channel: list[str]) -> DataFrame:
+    """(channel keys, session_no, turns, speakers, first_us, last_us) of the sessions in which one speaker replies to another.
+
+    ``sessions``: channel keys, ``session_no``, ``id``, ``parent``, ``at``, ``login``. A missing login is a speaker
+    other than every known one; missing ones can't be told apart and count as one speaker, so a reply among them
+    is none to another.
+    """
+    p = sessions.select(*channel, "session_no", F.col("id").alias("parent"), F.col("login").alias("_to"), F.lit(True).alias("_there"))
+    s = sessions.join(p, [*channel, "session_no", "parent"], "left")
+    answered = F.max(F.coalesce("_there", F.lit(False)) & ~F.col("_to").eqNullSafe(F.col("login")))
+    speakers = F.countDistinct("login") + F.max(F.col("login").isNull().cast("int"))
+    out = s.groupBy(*channel, "session_no").agg(F.count(F.lit(1)).alias("turns"), speakers.alias("speakers"), F.min("at").alias("first_us"), F.max("at").alias("last_us"), answered.alias("reciprocal"))
+    return out.filter("reciprocal").drop("reciprocal")
+
+
 def reply_paths(messages: DataFrame, channel: list[str]) -> DataFrame:
     """``messages`` (channel keys, ``id``, ``parent``, ``at``) with ``path``, the (at, id) of all ancestors and itself.
 

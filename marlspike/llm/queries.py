@@ -49,12 +49,7 @@ def p2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discussions split at a calibrated inactivity gap: size of each session and whether two speakers take turns in it."""
     m = cut(messages(spark, sf_dir).filter("at IS NOT NULL"))
     channel = ["project", "discussion"]
-    s = conv.sessionize(m, channel, conv.calibrate_gap(m, channel))
-    p = s.select(*channel, "session_no", F.col("id").alias("parent"), F.col("login").alias("_to"))
-    s = s.join(p, [*channel, "session_no", "parent"], "left")
-    answered = F.max(F.coalesce(F.col("_to") != F.col("login"), F.lit(False)))
-    out = s.groupBy(*channel, "session_no").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("login").alias("speakers"), F.min("at").alias("first_us"), F.max("at").alias("last_us"), answered.alias("reciprocal"))
-    return out.filter("reciprocal").drop("reciprocal")
+    return conv.reciprocal_sessions(conv.sessionize(m, channel, conv.calibrate_gap(m, channel)), channel)
 
 
 def p3_neighbors(spark: SparkSession, sf_dir: str, min_score: float = -1.0) -> DataFrame:

@@ -106,3 +106,18 @@ def test_ranks_of_a_hot_channel(spark):
     got = conv.rank_in(rows, ["ch"], ["k"], "n").toPandas()
     want = got.sort_values(["ch", "k"]).groupby("ch").cumcount() + 1
     assert (want.reindex(got.index) == got["n"]).all() and len(got) == 5000
+
+
+def test_reciprocal_sessions_with_missing_authors(spark):
+    rows = [
+        ("known", 1, None, "a"), ("known", 2, 1, "b"),
+        ("null replies", 3, None, "a"), ("null replies", 4, 3, None),
+        ("null is answered", 5, None, None), ("null is answered", 6, 5, "a"),
+        ("both null", 7, None, None), ("both null", 8, 7, None),
+        ("own reply", 9, None, "a"), ("own reply", 10, 9, "a"),
+        ("no reply", 11, None, "a"), ("no reply", 12, None, None),
+        ("parent elsewhere", 13, 1, "a"),
+    ]
+    s = spark.createDataFrame([(ch, 1, i, p, i, login) for ch, i, p, login in rows], "ch string, session_no bigint, id bigint, parent bigint, at bigint, login string")
+    got = {r.ch: (r.turns, r.speakers) for r in conv.reciprocal_sessions(s, ["ch"]).collect()}
+    assert got == {"known": (2, 2), "null replies": (2, 2), "null is answered": (2, 2)}
