@@ -110,7 +110,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.explode("_s").alias("subject"), (F.size("_s") == 1).alias("_one")).groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.count_if("_one").alias("docs_alone"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p6_found": p6_found,
+QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p6_found": p6_found,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_composition": p8_composition}
 _REF = r"^(https?:)?//[^/]+/+(repos/+)?([^/?#]+)/+([^/?#]+)/+discussions/+([0-9]+)([/?#].*)?$"
 

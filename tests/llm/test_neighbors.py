@@ -1,7 +1,13 @@
+import os
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from marlspike.llm.neighbors import _largest, hilbert_key, nearest
+from marlspike.llm.queries import QUERIES
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_curve_visits_neighbours():
@@ -84,3 +90,30 @@ def test_largest_by_groups():
     s = np.random.default_rng(2).standard_normal((20, 3001)).astype(np.float32)
     want = np.sort(np.argsort(-s, axis=1)[:, :5], axis=1)
     assert (np.sort(_largest(s, 5), axis=1) == want).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_registered_neighbors_without_a_threshold(spark):
+    got = {(r.id, r.other) for r in QUERIES["p3_neighbors"](spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/doc_vector.parquet").filter("id IS NOT NULL").toPandas().sort_values("mod_time").drop_duplicates("id", keep="last")
+    rows = rows[[x is not None and len(x) == 64 and bool(np.isfinite(x).all() and np.any(x)) for x in rows["vec"]]]
+    u = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s, ids = u @ u.T, rows["id"].to_numpy()
+    np.fill_diagonal(s, -2)
+    want = {(ids[i], ids[j]) for i in range(len(ids)) for j in np.argsort(-s[i])[:5]}
+    assert len(got) == len(want) == 5 * len(ids) and len(got & want) / len(want) >= 0.98
+
+
+def test_recall_of_loose_groups_with_production_parameters(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    head = unit(rng.standard_normal((4000, 64)))
+    v = np.vstack([head, *(0.6 * head + 0.8 * unit(rng.standard_normal(head.shape)) for _ in range(9))]).astype(np.float32)
+    u = unit(v.astype(np.float64))
+    s = u[:500] @ u.T
+    s[np.arange(500), np.arange(500)] = -2
+    want = {(f"{i:05}", f"{j:05}") for i in range(500) for j in np.argsort(-s[i])[:5]}
+    rows = spark.createDataFrame(pd.DataFrame({"id": [f"{i:05}" for i in range(len(v))], "vec": list(v)}), "id string, vec array<float>")
+    found = {(r.id, r.other) for r in nearest(rows, 64).filter("id < '00500'").collect()}
+    assert len(found & want) / len(want) >= 0.9
