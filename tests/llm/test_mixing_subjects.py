@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspike.llm import mixing
-from marlspike.llm.subjects import language, passages, subjects
+from marlspike.llm.subjects import language, learn, passages, shared_terms, subjects
 
 needs_vocabulary = pytest.mark.skipif(not os.path.isdir(mixing.TOKENIZERS), reason="no vocabulary")
 
@@ -90,3 +90,14 @@ def test_nothing_to_learn(spark):
 def test_passages():
     assert list(passages("```\ncode here\n```\nThe Court ruled. fooBar a/b 12 X_Y <b>Bold</b>")) == [(3, ["the", "court", "ruled"]), (5, ["bold"])]
     assert language("die und nicht".split()) == "de" and language(["zzz"]) is None and math.isfinite(len(list(passages(None))))
+
+
+def test_no_cap_on_terms(spark):
+    areas, n = ["law", "sport"], 30_000
+    of = lambda a: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit(a), i.cast("string")))
+    both = F.concat(of("x"), of("y"))
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), (F.col("id") % 2).alias("_a"))
+    weights = [(F.col("_a") == i).cast("double").alias(f"a{i}") for i in (0, 1)]
+    telling = docs.select("doc_id", "lang", F.when(F.col("_a") == 0, of("law")).otherwise(of("sport")).alias("terms"), *weights)
+    assert len(learn(telling, areas, g_least=12.0)) == 2 * n
+    assert len(shared_terms(docs.select("doc_id", "lang", both.alias("terms"), *weights), areas)) == 2 * n
