@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.operators.ordered import running_sum
 from marlspike.session import cut, small
 
 #: Where the public tokenizers lie; a parameter of every operator that counts tokens.
@@ -135,16 +136,21 @@ def budgets(rows: list[dict], budget: float) -> dict[str, float]:
 
 
 def mix(docs: DataFrame, plan: dict[str, float], sizes: dict[str, int], seed: int = 3, blocks: int = 64, **tokens) -> DataFrame:
-    """Realise token budgets: (doc_id, source, copy, block, tokens) for every time a document is taken.
+    """Realise token budgets: (doc_id, source, copy, tokens, block, key) for every time a document is taken.
 
-    Each source is taken whole as often as its budget holds; the rest is taken in the order of a keyed hash, up to
-    the share that is left, which meets the budget in expectation and needs no sort. Each copy has its own
-    permutation: its hash spreads it over ``blocks`` blocks. Nothing is gathered by source, so hot sources are fine.
+    Each copy of a source has its own keyed permutation: ``blocks`` blocks, ordered by ``key`` inside. A source is taken
+    whole as often as its budget holds; the copy after that is filled block by block in the order of its permutation
+    and stops before the first document that would exceed the budget, so what is missing is less than that document.
+    Sums run over range-sorted pieces, nothing is gathered by source, so hot sources are fine.
     """
-    key = source_key(F.col("source"))
-    rows = docs.sparkSession.createDataFrame([(k.strip().lower(), float(b) / sizes[k] if sizes[k] else 0.0) for k, b in plan.items()] or [("", 0.0)], "_k string, _times double")
-    d = token_counts(docs.select("doc_id", "source", "text"), **tokens).drop("text").withColumn("_k", key).join(small(rows), "_k")
-    part = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40))
-    n = (F.floor("_times") + F.when(part < F.col("_times") - F.floor("_times"), 1).otherwise(0)).cast("int")
-    taken = d.withColumn("_c", F.when(n > 0, F.sequence(F.lit(1), n))).select("doc_id", F.col("_k").alias("source"), F.explode("_c").alias("copy"), "tokens")
-    return taken.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), F.lit(blocks)).cast("int"))
+    name = source_key(F.col("source"))
+    plans = [(k.strip().lower(), int(b // sizes[k]) if sizes[k] else 0, float(b % sizes[k]) if sizes[k] else 0.0) for k, b in plan.items()]
+    rows = docs.sparkSession.createDataFrame(plans or [("", 0, 0.0)], "_k string, _whole int, _rest double")
+    block = lambda copy: F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", copy), F.lit(blocks)).cast("int")
+    key = lambda copy: F.xxhash64(F.lit(seed), "doc_id", copy)
+    d = token_counts(docs.select("doc_id", "source", "text"), **tokens).drop("text").withColumn("_k", name).join(small(rows), "_k")
+    d = d.select("doc_id", F.col("_k").alias("source"), "tokens", "_whole", "_rest", block(F.col("_whole") + 1).alias("_b"), key(F.col("_whole") + 1).alias("_key"))
+    d = running_sum(d, ["source"], ["_b", "_key", "doc_id"], F.col("tokens"), "_run")
+    n = F.col("_whole") + F.when((F.col("_rest") > 0) & (F.col("_run") <= F.col("_rest")), 1).otherwise(0)
+    taken = d.withColumn("_c", F.when(n > 0, F.sequence(F.lit(1), n))).select("doc_id", "source", F.explode("_c").alias("copy"), "tokens")
+    return taken.withColumns({"block": block(F.col("copy")), "key": key(F.col("copy"))})

@@ -101,3 +101,14 @@ def test_no_cap_on_terms(spark):
     telling = docs.select("doc_id", "lang", F.when(F.col("_a") == 0, of("law")).otherwise(of("sport")).alias("terms"), *weights)
     assert len(learn(telling, areas, g_least=12.0)) == 2 * n
     assert len(shared_terms(docs.select("doc_id", "lang", both.alias("terms"), *weights), areas)) == 2 * n
+
+
+@needs_vocabulary
+def test_mix_fills_block_by_block_up_to_the_budget(spark):
+    docs = spark.createDataFrame([(i, "some words here " * (1 + i % 7), "a") for i in range(3000)], "doc_id bigint, text string, source string")
+    size = mixing.token_counts(docs).agg(F.sum("tokens")).first()[0]
+    most = mixing.token_counts(docs).agg(F.max("tokens")).first()[0]
+    rows = mixing.mix(docs, {"a": size * 1.4}, {"a": size}).collect()
+    assert size * 1.4 - most < sum(r.tokens for r in rows) <= size * 1.4
+    second = sorted({r.block for r in rows if r.copy == 2})
+    assert second == list(range(len(second))) and len(second) < 40 and len({r.doc_id for r in rows if r.copy == 1}) == 3000
