@@ -1,11 +1,11 @@
-import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marlspike.llm import mixing
-from marlspike.llm.subjects import language, learn, passages, shared_terms, subjects
+from marlspike.llm.subjects import DIM, bisect, mixed_subjects, passages, subjects
 
 needs_vocabulary = pytest.mark.skipif(not os.path.isdir(mixing.TOKENIZERS), reason="no vocabulary")
 
@@ -53,31 +53,82 @@ def test_mix(spark):
     assert g["a"].c == 1 and g["b"].c == 3 and g["b"].n == 1000 and g["b"].lo == 0 and g["b"].hi == 63
 
 
+NOUNS = {
+    "law": "licence patent court consent copyright settlement statute verdict clause attorney",
+    "sport": "league keeper roster game referee substitute tournament goal fixture coach",
+    "cook": "noodles yolk garlic butter oven dough sauce pepper skillet recipe",
+    "garden": "apple carrot tomato hedge compost blossom lawn trellis shovel seedling",
+    "music": "violin choir piano hymn tempo chord melody drum rehearsal orchestra",
+}
+FRAMES = ["The {} depends on the {} again.", "Nobody checked the {} before our {} changed.", "We should compare this {} with another {}.", "Why does the {} ignore a {} today?"]
+
+
 def corpus():
-    law = ["The licence covers the patent claim.", "A court may waive the consent form.", "Copyright of the settlement is unclear."]
-    sport = ["The league table lists the goal keeper.", "Our player roster lost the home game.", "The referee report names a substitute."]
+    """Documents 0 to 999: of ten, one each about law, about sport, about both and about law with a mention of sport."""
+    rng = np.random.default_rng(8)
+
+    def of(area, n):
+        return [str(rng.choice(FRAMES)).format(*rng.choice(NOUNS[area].split(), 2, replace=False)) for _ in range(n)]
+
     docs, labels = [], []
-    for i in range(120):
-        a = [law[(i + k) % 3] for k in range(4)]
-        b = [sport[(i + k) % 3] for k in range(4)]
-        text = {0: a, 1: b, 2: a[:2] + b[:2], 3: a * 3 + b[:1]}[i % 4]
+    for i in range(1000):
+        text = {0: lambda: of("law", 6), 1: lambda: of("sport", 6), 2: lambda: of("law", 3) + of("sport", 3), 3: lambda: of("law", 11) + of("sport", 1)}
+        text = text.get(i % 10, lambda: of(["cook", "garden", "music"][i % 3], 6))()
         docs.append((i, " ".join(["Thanks for looking into this.", *text, f"Run{i}Camel a/b.go 12 times."])))
-        if i % 2 or i % 3 == 0:
-            labels += [(i, s) for s in {0: ["law"], 1: ["Sport "], 2: ["law", "sport"], 3: ["law"]}[i % 4]]
+        if i // 10 % 2 or i // 10 % 3 == 0:
+            labels += [(i, s) for s in {0: ["law"], 1: ["Sport "], 2: ["law", "sport"], 3: ["law"]}.get(i % 10, [])]
     return docs, labels
 
 
 def test_subjects(spark):
     docs, labels = corpus()
-    docs += [(900, None), (901, ""), (902, "   "), (903, "Thanks for looking into this."), (904, "The court ruled. " * 20000)]
+    docs += [(9000, None), (9001, ""), (9002, "   "), (9003, "Thanks for looking into this."), (9004, "The court ruled. " * 20000)]
     labels += [(None, "law"), (5, None), (7, "nonsense"), (1, "sport")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {}
-    for r in subjects(d, spark.createDataFrame(labels, "doc_id bigint, subject string"), ["law", "sport"], g_labels=8.0, g_passages=8.0).collect():
+    for r in subjects(d, spark.createDataFrame(labels, "doc_id bigint, subject string"), ["law", "sport"]).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
-    want = {i: [{"law"}, {"sport"}, {"law", "sport"}, {"law"}][i % 4] for i in range(120)}
-    assert {k: v for k, v in got.items() if k < 900} == want
-    assert not {900, 901, 902, 903} & set(got)
+    want = {i: [{"law"}, {"sport"}, {"law", "sport"}, {"law"}][i % 10] for i in range(1000) if i % 10 < 4}
+    wrong = [i for i in range(1000) if got.get(i, set()) != want.get(i, set())]
+    assert len(wrong) <= 20, wrong
+    assert not {9000, 9001, 9002, 9003} & set(got)
+
+
+def test_leaves_decide(spark):
+    docs, labels = corpus()
+    d, told = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject string")
+    rows = lambda **more: {(r.doc_id, r.subject) for r in subjects(d, told, ["law", "sport"], **more).collect()}
+    plain, swapped = rows(), rows(rename={0: 1, 1: 0})
+    other = {"law": "sport", "sport": "law"}
+    assert plain and swapped == {(i, other[s]) for i, s in plain}
+
+
+def test_bisect_separates_bundles():
+    rng = np.random.default_rng(1)
+    axes = np.linalg.qr(rng.standard_normal((DIM, 6)))[0].T
+    v = np.repeat(axes, 40, axis=0) + rng.standard_normal((240, DIM)) * 0.02
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    centres = bisect(v, 6)
+    near = (v @ centres.T).argmax(axis=1).reshape(6, 40)
+    assert len(centres) == 6 and sorted({int(x) for x in near[:, 0]}) == list(range(6)) and (near == near[:, :1]).all()
+    assert bisect(v[:0], 4).shape == (0, DIM) and len(bisect(np.repeat(v[:1], 50, axis=0), 4)) == 1
+
+
+def test_mixture_to_subjects_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    mix = pd.DataFrame({"doc_id": rng.integers(0, 200, 900), "leaf": rng.integers(-1, 9, 900).astype("int32"), "part": rng.integers(1, 40, 900).astype(float)})
+    named = pd.DataFrame({"leaf": np.arange(8, dtype="int32"), "subject": ["law", "sport", "law", "docs"] * 2, "of": 1.0})
+    named = pd.concat([named.assign(of=[1, 1, 0.5, 1, 1, 0.25, 1, 1]), pd.DataFrame({"leaf": np.array([2, 5], dtype="int32"), "subject": ["docs", "law"], "of": [0.5, 0.75]})])
+    con = duckdb.connect()
+    con.register("mix", mix)
+    con.register("named", named)
+    want = con.execute("""SELECT doc_id, subject, part / total AS share FROM (SELECT doc_id, subject, sum(part * coalesce("of", 1)) AS part, sum(sum(part * coalesce("of", 1))) OVER (PARTITION BY doc_id) AS total
+        FROM mix LEFT JOIN named USING (leaf) GROUP BY doc_id, subject) WHERE subject IS NOT NULL AND part / total >= 0.22""").fetchall()
+    got = mixed_subjects(spark.createDataFrame(mix), spark.createDataFrame(named), 0.22).collect()
+    assert {(a, b, round(c, 9)) for a, b, c in want} == {(r.doc_id, r.subject, round(r.share, 9)) for r in got}
 
 
 def test_nothing_to_learn(spark):
@@ -89,18 +140,7 @@ def test_nothing_to_learn(spark):
 
 def test_passages():
     assert list(passages("```\ncode here\n```\nThe Court ruled. fooBar a/b 12 X_Y <b>Bold</b>")) == [(3, ["the", "court", "ruled"]), (5, ["bold"])]
-    assert language("die und nicht".split()) == "de" and language(["zzz"]) is None and math.isfinite(len(list(passages(None))))
-
-
-def test_no_cap_on_terms(spark):
-    areas, n = ["law", "sport"], 30_000
-    of = lambda a: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit(a), i.cast("string")))
-    both = F.concat(of("x"), of("y"))
-    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), (F.col("id") % 2).alias("_a"))
-    weights = [(F.col("_a") == i).cast("double").alias(f"a{i}") for i in (0, 1)]
-    telling = docs.select("doc_id", "lang", F.when(F.col("_a") == 0, of("law")).otherwise(of("sport")).alias("terms"), *weights)
-    assert len(learn(telling, areas, g_least=12.0)) == 2 * n
-    assert len(shared_terms(docs.select("doc_id", "lang", both.alias("terms"), *weights), areas)) == 2 * n
+    assert list(passages(None)) == []
 
 
 @needs_vocabulary
