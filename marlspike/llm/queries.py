@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlspike.functions.timestamps import with_instant
 from marlspike.llm import conversations as conv
 from marlspike.llm import mixing
-from marlspike.llm.leaks import leaks
+from marlspike.llm.leaks import leaks, reparameterised
 from marlspike.llm.neighbors import nearest
 from marlspike.llm.subjects import subjects
 from marlspike.plans.found import zoned
@@ -69,6 +69,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
+def p6_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document asks which evaluation item's question with other parameters."""
+    return reparameterised(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources that fall short of their share within their repeats."""
     return mixing.short_sources(mixing.source_sizes(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))).select("source")
@@ -110,7 +115,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.explode("_s").alias("subject"), (F.size("_s") == 1).alias("_one")).groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.count_if("_one").alias("docs_alone"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p6_found": p6_found,
+QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p6_found": p6_found, "p6_reparameterised": p6_reparameterised,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_composition": p8_composition}
 _REF = r"^(https?:)?//[^/]+/+(repos/+)?([^/?#]+)/+([^/?#]+)/+discussions/+([0-9]+)([/?#].*)?$"
 
