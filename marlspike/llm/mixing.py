@@ -5,14 +5,13 @@ from __future__ import annotations
 import functools
 import math
 import os
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.operators.ordered import running_sum
-from marlspike.session import cut, small
+from marlspike.session import small
 
 #: Where the public tokenizers lie; a parameter of every operator that counts tokens.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -31,20 +30,6 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Texts are encoded in pieces of this many characters at the next line break or space, so that one huge text can't stall a worker.
-PIECE = 100_000
-
-
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            end = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end)) if " " in text[at + 1 : end] or "\n" in text[at + 1 : end] else end
-        yield text[at:end]
-        at = end
-
-
 def token_counts(docs: DataFrame, text: str = "text", out: str = "tokens", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
     """``docs`` with the size of ``text`` in tokens of a public vocabulary; null and empty texts have none. Whole texts count."""
     path = os.path.join(folder, vocabulary)
@@ -52,7 +37,7 @@ def token_counts(docs: DataFrame, text: str = "text", out: str = "tokens", vocab
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
         t = tokenizer(path)
-        return pd.Series([0 if x is None else sum(len(t.encode_ordinary(p)) for p in _pieces(x)) for x in texts], dtype="int64")
+        return pd.Series([0 if x is None else len(t.encode_ordinary(x)) for x in texts], dtype="int64")
 
     return docs.withColumn(out, count(F.col(text)))
 
@@ -62,28 +47,45 @@ def source_key(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-def source_sizes(docs: DataFrame, targets: DataFrame, **tokens) -> DataFrame:
-    """Per target source: weight, share asked for, most repeats, and its size in documents and tokens.
-
-    ``targets``: ``source``, ``weight``, ``max_repeats``. Documents of no target source count for the total only.
-    The sum runs per source spelling before any shuffle, so a source with a third of all rows is no burden.
-    """
-    sized = token_counts(docs.select("source", "text"), **tokens)
-    have = sized.groupBy(source_key(F.col("source")).alias("_k")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    have = cut(have)  # a row per source name; read twice below, and counting tokens once is what costs
-    t = targets.select("source", "weight", "max_repeats", source_key(F.col("source")).alias("_k"))
-    t = t.crossJoin(F.broadcast(t.agg(F.sum("weight").alias("_w")))).crossJoin(F.broadcast(have.agg(F.sum("tokens").alias("total"))))
-    return t.join(have, "_k", "left").select("source", "weight", (F.col("weight") / F.col("_w")).alias("target_share"), "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("total", F.lit(0)).alias("total"))
+def sized(docs: DataFrame, **tokens) -> DataFrame:
+    """(doc_id, source, tokens) of all documents, ``source`` without outer spaces and case; texts are counted here and nowhere else."""
+    ids = "doc_id" if "doc_id" in docs.columns else F.lit(None).cast("bigint").alias("doc_id")
+    return token_counts(docs.select(ids, source_key(F.col("source")).alias("source"), "text"), **tokens).drop("text")
 
 
-def short_sources(sizes: DataFrame) -> DataFrame:
-    """The sources whose share of the whole can't be reached within their repeats."""
-    return sizes.filter(F.col("target_share") * F.col("total") > F.col("max_repeats") * F.col("tokens"))
+def source_sizes(counted: DataFrame, targets: DataFrame) -> list[dict]:
+    """Per target source: name, key, weight, share asked for, most repeats, its tokens and documents, and the tokens of all documents.
 
-
-def temper(shares: dict[str, float], exponent: float) -> dict[str, float]:
-    """Shares raised to ``exponent`` and scaled to one; 1 keeps them, 0 makes them equal. Sources without size stay out."""
-    raised = {k: v**exponent for k, v in shares.items() if v > 0}
+    ``counted`` comes from ``sized``; ``targets``: ``source``, ``weight``, ``max_repeats``, a row per source. Null or
+    negative weights and repeats count as 0, rows without a name are left out; names that are equal without case and
+    outer spaces are one source with their weights added up, the largest of their repeats and the smallest of their
+    names. Documents of no target source count for the total only. Sums run before any shuffle, so a source with a
+    third of all rows is no burden.
+    """
+    t = targets.filter("source IS NOT NULL").groupBy(source_key(F.col("source")).alias("k")).agg(
+        F.min("source").alias("source"),
+        F.sum(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("weight"),
+        F.max(F.greatest(F.coalesce(F.col("max_repeats").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("max_repeats"),
+    )
+    named = t.join(counted.groupBy(F.col("source").alias("k")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "k", "full")
+    # A row per target, and one for all that no target names.
+    other = F.when(F.col("source").isNotNull(), F.col("k")).alias("k")
+    rows = named.groupBy(other, "source").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("weight", "max_repeats", "tokens", "docs"))).orderBy("source").collect()
+    total = sum(r["tokens"] for r in rows)
+    out = [r.asDict() | {"total": total} for r in rows if r["source"] is not None]
+    weights = sum(r["weight"] for r in out)
+    return [r | {"target_share": r["weight"] / weights if weights else 0.0} for r in out]
+
+
+def temper(sizes: dict[str, float], exponent: float, target: dict[str, float] | None = None) -> dict[str, float]:
+    """The mixture at an exponent, scaled to one; sources without size or without a target stay out.
+
+    Without ``target`` the shares of the sizes raised to ``exponent``: 1 keeps them, 0 makes them equal. With it the
+    ratio of target and size is raised: 1 gives the target shares, 0 those of the sizes, what lies between is between.
+    """
+    raised = {k: math.exp(exponent * math.log(v)) for k, v in sizes.items() if v > 0}
+    if target is not None:
+        raised = {k: math.exp(exponent * math.log(target[k] / v) + math.log(v)) for k, v in sizes.items() if v > 0 and target.get(k, 0) > 0}
     s = sum(raised.values())
     return {k: v / s for k, v in raised.items()} if s else {}
 
@@ -93,64 +95,72 @@ def entropy(shares: dict[str, float]) -> float:
     return -sum(v * math.log(v) for v in shares.values() if v > 0)
 
 
-def fit_exponent(tokens: dict[str, float], budget: float, target_entropy: float | None = None, max_repeats: dict[str, float] | None = None, steps: int = 60) -> float:
-    """The exponent in [0, 1] found by bisection.
+def fit_exponent(
+    tokens: dict[str, float],
+    budget: float,
+    target_entropy: float | None = None,
+    max_repeats: dict[str, float] | None = None,
+    target: dict[str, float] | None = None,
+    steps: int = 60,
+) -> float:
+    """The exponent in [0, 1] found by bisection, from one number per source.
 
-    With ``target_entropy``: where the tempered shares reach it. Otherwise the flattest mixture of ``budget`` tokens
-    that repeats no source more than ``max_repeats`` allows. Works on one number per source.
+    With ``target_entropy``: where the tempered shares reach it. Otherwise the one nearest to what is asked for at which
+    ``budget`` tokens repeat no source more than ``max_repeats`` allows: asked for is ``target``, or equal shares.
     """
-    total = sum(tokens.values())
-    shares = {k: v / total for k, v in tokens.items()} if total else {}
-
-    def low_enough(x: float) -> bool:
-        w = temper(shares, x)
-        if target_entropy is not None:
-            return entropy(w) <= target_entropy
-        return all(w[k] * budget <= max_repeats.get(k, 1) * tokens[k] * (1 + 1e-12) for k in w)
-
-    if low_enough(0.0):
-        return 0.0
-    lo, hi = 0.0, 1.0
+    fits = lambda x: all(w * budget <= (max_repeats or {}).get(k, 1) * tokens[k] * (1 + 1e-12) for k, w in temper(tokens, x, target).items())
+    if target_entropy is not None:
+        fits = lambda x: entropy(temper(tokens, x, target)) <= target_entropy
+    best, lo, hi = (1.0, 1.0, 0.0) if target is not None and target_entropy is None else (0.0, 0.0, 1.0)
+    if fits(best):
+        return best
     for _ in range(steps):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if low_enough(mid) else (mid, hi)
+        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
     return hi
 
 
-def budgets(rows: list[dict], budget: float) -> dict[str, float]:
-    """Tokens per source for target weights, none above max_repeats times its size; what a short source leaves goes to the others."""
-    cap = {r["source"]: float(r["max_repeats"] or 0) * r["tokens"] for r in rows}
-    left = {r["source"]: float(r["weight"] or 0) for r in rows if cap[r["source"]] > 0}
-    out, rest = dict.fromkeys(cap, 0.0), budget
-    while left and rest > 1e-9:
-        w = sum(left.values())
-        full = [k for k in left if w and rest * left[k] / w >= cap[k]]
-        if not full:
-            out |= {k: rest * v / w for k, v in left.items()} if w else {}
-            break
-        for k in full:
-            out[k] = cap[k]
-            del left[k]
-        rest = budget - sum(out.values())
+def plan(rows: list[dict], budget: float | None = None) -> list[dict]:
+    """``rows`` of ``source_sizes`` with the tempered ``share`` and ``budget`` of each source, and whether it falls ``short``.
+
+    The exponent is the largest at which a mixture of ``budget`` tokens (default: as many as all documents have) stays
+    within the repeats of every source, so scarce sources pull all shares towards those of the sizes. A source is short if
+    the limit cuts what it would give at exponent 1, the share asked for; sources without documents are. Where even the
+    shares of the sizes exceed a limit (fewer than one repeat), that source gives what it may.
+    """
+    total = float(rows[0]["total"]) if rows else 0.0
+    budget = total if budget is None else budget
+    tokens = {r["k"]: float(r["tokens"]) for r in rows}
+    most, target = {r["k"]: r["max_repeats"] for r in rows}, {r["k"]: r["target_share"] for r in rows}
+    asked = {k: v for k, v in target.items() if most[k] >= 1}
+    size = min(budget, sum(most[k] * tokens[k] for k in asked))
+    x = fit_exponent(tokens, size, max_repeats=most, target=asked)
+    share = temper(tokens, x, asked)
+    out = []
+    for r in rows:
+        limit = r["max_repeats"] * r["tokens"]
+        out.append(r | {"exponent": x, "share": share.get(r["k"], 0.0), "budget": min(share.get(r["k"], 0.0) * size, limit), "short": r["target_share"] * budget > limit})
     return out
 
 
-def mix(docs: DataFrame, plan: dict[str, float], sizes: dict[str, int], seed: int = 3, blocks: int = 64, **tokens) -> DataFrame:
-    """Realise token budgets: (doc_id, source, copy, tokens, block, key) for every time a document is taken.
+def mix(counted: DataFrame, planned: list[dict], seed: int = 3, blocks: int = 64) -> DataFrame:
+    """Realise a plan: (doc_id, source, copy, tokens, block, place) for every time a document is taken.
 
-    Each copy of a source has its own keyed permutation: ``blocks`` blocks, ordered by ``key`` inside. A source is taken
-    whole as often as its budget holds; the copy after that is filled block by block in the order of its permutation
-    and stops before the first document that would exceed the budget, so what is missing is less than that document.
-    Sums run over range-sorted pieces, nothing is gathered by source, so hot sources are fine.
+    ``counted`` comes from ``sized``; ``planned`` rows need ``k``, ``tokens`` and ``budget``. Each copy of a source is a
+    permutation by keyed hash; copies follow one another, and a source is taken up to its budget in that order, stopping
+    before the first document that would exceed it. A source's tokens are laid out evenly over ``blocks`` blocks of
+    equal budget, so every block is a small mixture of the same shares; ``place`` orders a block, sources interleaved.
+    Sums run over range-sorted pieces, nothing is gathered by source, so hot sources are fine. Documents of sources
+    without a budget and those without an id aren't taken; repeated ids are each a document; an empty table gives none.
     """
-    name = source_key(F.col("source"))
-    plans = [(k.strip().lower(), int(b // sizes[k]) if sizes[k] else 0, float(b % sizes[k]) if sizes[k] else 0.0) for k, b in plan.items()]
-    rows = docs.sparkSession.createDataFrame(plans or [("", 0, 0.0)], "_k string, _whole int, _rest double")
-    block = lambda copy: F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", copy), F.lit(blocks)).cast("int")
-    key = lambda copy: F.xxhash64(F.lit(seed), "doc_id", copy)
-    d = token_counts(docs.select("doc_id", "source", "text"), **tokens).drop("text").withColumn("_k", name).join(small(rows), "_k")
-    d = d.select("doc_id", F.col("_k").alias("source"), "tokens", "_whole", "_rest", block(F.col("_whole") + 1).alias("_b"), key(F.col("_whole") + 1).alias("_key"))
-    d = running_sum(d, ["source"], ["_b", "_key", "doc_id"], F.col("tokens"), "_run")
-    n = F.col("_whole") + F.when((F.col("_rest") > 0) & (F.col("_run") <= F.col("_rest")), 1).otherwise(0)
-    taken = d.withColumn("_c", F.when(n > 0, F.sequence(F.lit(1), n))).select("doc_id", "source", F.explode("_c").alias("copy"), "tokens")
-    return taken.withColumns({"block": block(F.col("copy")), "key": key(F.col("copy"))})
+    rows = [(r["k"], int(r["tokens"]), float(r["budget"])) for r in planned if r["budget"] > 0 and r["tokens"] > 0]
+    spread = counted.sparkSession.createDataFrame(rows or [("", 0, 0.0)], "source string, _size bigint, _budget double")
+    d = counted.filter("doc_id IS NOT NULL").join(small(spread), "source")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_budget") / F.col("_size")).cast("int"))))
+    d = d.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+    d = running_sum(d, ["source", "copy"], ["_key", "doc_id"], F.col("tokens"), "_run")
+    end = (F.col("copy") - 1) * F.col("_size") + F.col("_run")
+    d = d.withColumn("_end", end).filter(F.col("_end") <= F.col("_budget"))
+    at = (F.col("_end") - F.col("tokens")) / F.col("_budget") * blocks
+    block = F.least(F.floor(at), F.lit(blocks - 1)).cast("int")
+    return d.select("doc_id", "source", "copy", "tokens", block.alias("block"), (at - block).alias("place"))

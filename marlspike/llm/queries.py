@@ -74,25 +74,33 @@ def p6_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reparameterised(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
 
 
+_PLAN = "source string, k string, target_share double, exponent double, share double, budget double, short boolean"
+
+
+def _planned(spark: SparkSession, counted: DataFrame, sf_dir: str) -> tuple[list[dict], DataFrame]:
+    """The plan for a mixture as large as the corpus, as rows and as a table of one row per source."""
+    rows = mixing.plan(mixing.source_sizes(counted, load(spark, sf_dir, "mix_target")))
+    names = [x.split()[0] for x in _PLAN.split(", ")]
+    return rows, spark.createDataFrame([tuple(r[n] for n in names) for r in rows], _PLAN)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources that fall short of their share within their repeats."""
-    return mixing.short_sources(mixing.source_sizes(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))).select("source")
+    """The sources whose limit of repeats cuts the plan short of their share."""
+    docs = load(spark, sf_dir, "documents").select("source", "text")
+    return _planned(spark, mixing.sized(docs), sf_dir)[1].filter("short").select("source")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture as large as the corpus: per source the share asked for, the tempered and the reached share, repeats and blocks."""
-    docs = load(spark, sf_dir, "documents")
-    rows = [r.asDict() for r in mixing.source_sizes(docs, load(spark, sf_dir, "mix_target")).collect()]
-    total = float(rows[0]["total"]) if rows else 0.0
-    plan = mixing.budgets(rows, total)
-    sizes = {r["source"]: r["tokens"] for r in rows}
-    x = mixing.fit_exponent({k: float(v) for k, v in sizes.items() if v}, total, max_repeats={r["source"]: float(r["max_repeats"]) for r in rows})
-    share = sum(sizes.values())
-    tempered = mixing.temper({k: v / share for k, v in sizes.items()} if share else {}, x)
-    got = mixing.mix(docs, plan, sizes).groupBy("source").agg(F.sum("tokens").alias("taken"), F.max("copy").alias("most_copies"), F.countDistinct("block").alias("blocks"))
-    asked = spark.createDataFrame([(r["source"], r["source"].strip().lower(), r["target_share"], tempered.get(r["source"], 0.0), int(plan[r["source"]])) for r in rows], "name string, source string, target_share double, tempered_share double, budget bigint")
+    """A mixture as large as the corpus: per source the shares asked for, planned and reached, repeats and blocks."""
+    counted = cut(mixing.sized(load(spark, sf_dir, "documents")))
+    rows, asked = _planned(spark, counted, sf_dir)
+    got = mixing.mix(counted, rows).groupBy(F.col("source").alias("k")).agg(F.sum("tokens").alias("taken"), F.max("copy").alias("most_copies"), F.countDistinct("block").alias("blocks"))
+    got = cut(got)
     reached = got.agg(F.sum("taken").alias("_t"))
-    return asked.join(got, "source", "left").crossJoin(F.broadcast(reached)).select(F.col("name").alias("source"), "target_share", "tempered_share", "budget", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce(F.col("taken") / F.col("_t"), F.lit(0.0)).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("taken", "most_copies", "blocks")}
+    share = F.coalesce(F.col("taken") / F.col("_t"), F.lit(0.0)).alias("reached_share")
+    whole = asked.join(got, "k", "left").crossJoin(F.broadcast(reached)).withColumns(zero)
+    return whole.select("source", "target_share", "exponent", "share", F.floor("budget").alias("budget"), "taken", share, "most_copies", "blocks", "short")
 
 
 def _areas(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -119,7 +127,13 @@ QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_foun
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_composition": p8_composition}
 _REF = r"^(https?:)?//[^/]+/+(repos/+)?([^/?#]+)/+([^/?#]+)/+discussions/+([0-9]+)([/?#].*)?$"
 
+#: Sizes in words and marks, as the simplest public tokenizers count them: which sources are short doesn't hang on the tokenizer.
+_P7 = r"""WITH d AS (SELECT lower(trim(source)) AS k, sum(len(regexp_extract_all(coalesce(text, ''), '\w+|[^\w\s]'))) AS n FROM documents GROUP BY 1),
+t AS (SELECT source, weight / sum(weight) OVER () AS share, max_repeats, lower(trim(source)) AS k FROM mix_target)
+SELECT source FROM t LEFT JOIN d USING (k) WHERE share * (SELECT sum(n) FROM d) > max_repeats * coalesce(n, 0)"""
+
 ORACLE: dict[str, str] = {
+    "p7_found": _P7,
     "p2_found": rf"""WITH RECURSIVE c AS (SELECT * FROM (SELECT *, regexp_extract(url, '([0-9]+)$', 1)::BIGINT AS id FROM discussion_comment) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, mod_time DESC) = 1),
 d AS (SELECT project, number, lower(author.login) AS asker FROM discussion QUALIFY row_number() OVER (PARTITION BY project, number ORDER BY mod_time DESC) = 1),
 k AS (SELECT lower(login) AS login, CASE WHEN bool_or(kind = 'bot') THEN 'bot' WHEN bool_or(kind = 'maintainer') THEN 'maintainer' END AS kind FROM account WHERE login IS NOT NULL GROUP BY 1),

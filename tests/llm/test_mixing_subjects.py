@@ -17,40 +17,58 @@ def test_token_counts(spark):
     d = mixing.token_counts(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string"))
     got = {r.i: r.tokens for r in d.collect()}
     assert [got[i] for i in range(4)] == [0, 0, len(t.encode_ordinary("hello world")), len(t.encode_ordinary(texts[3]))]
-    assert got[4] > 1000 and abs(got[5] - len(t.encode_ordinary(texts[5]))) <= 5
+    assert [got[i] for i in (4, 5)] == [len(t.encode_ordinary(texts[i])) for i in (4, 5)]
 
 
 @needs_vocabulary
 def test_short_sources(spark):
     docs = spark.createDataFrame([(1, "big " * 80, "A"), (2, "big " * 80, " a "), (3, "tiny", "B"), (4, "lost " * 40, None), (5, None, "a")], "doc_id bigint, text string, source string")
     t = spark.createDataFrame([("a", 1.0, 5), ("b", 1.0, 2), ("c", 2.0, 9)], "source string, weight double, max_repeats int")
-    sizes = mixing.source_sizes(docs, t)
-    assert sorted(r.source for r in mixing.short_sources(sizes).collect()) == ["b", "c"]
-    assert {r.source: r.docs for r in sizes.collect()} == {"a": 3, "b": 1, "c": 0}
-    assert mixing.short_sources(mixing.source_sizes(docs.limit(0), t)).collect() == []
-
-
-def test_exponent_and_budgets():
+    rows = mixing.plan(mixing.source_sizes(mixing.sized(docs), t))
+    assert [r["source"] for r in rows if r["short"]] == ["b", "c"]
+    assert {r["source"]: r["docs"] for r in rows} == {"a": 3, "b": 1, "c": 0}
+    assert not any(r["short"] for r in mixing.plan(mixing.source_sizes(mixing.sized(docs.limit(0)), t)))
+    odd = spark.createDataFrame([("a", 1.0, 5), (" A", 1.0, 7), (None, 3.0, 1), ("b", None, 2), ("z", 1.0, None), ("y", -2.0, -1)], "source string, weight double, max_repeats int")
+    got = {r["source"]: r for r in mixing.plan(mixing.source_sizes(mixing.sized(docs), odd))}
+    assert set(got) == {" A", "b", "z", "y"} and got[" A"]["weight"] == 2 and got[" A"]["max_repeats"] == 7 and got[" A"]["docs"] == 3
+    assert got["z"]["budget"] == got["b"]["budget"] == 0 and got["z"]["short"] and not got["y"]["short"]
+    assert mixing.plan(mixing.source_sizes(mixing.sized(docs), odd.limit(0))) == []
+
+
+def test_exponent():
     tokens = {"a": 800.0, "b": 150.0, "c": 50.0}
     x = mixing.fit_exponent(tokens, 1000, target_entropy=0.9)
-    assert mixing.entropy(mixing.temper({k: v / 1000 for k, v in tokens.items()}, x)) == pytest.approx(0.9, abs=1e-9)
+    assert mixing.entropy(mixing.temper(tokens, x)) == pytest.approx(0.9, abs=1e-9)
     x = mixing.fit_exponent(tokens, 1000, max_repeats={"a": 1, "b": 2, "c": 4})
-    w = mixing.temper({k: v / 1000 for k, v in tokens.items()}, x)
+    w = mixing.temper(tokens, x)
     assert max(w["b"] * 1000 / 150 / 2, w["c"] * 1000 / 50 / 4, w["a"] * 1000 / 800) == pytest.approx(1, abs=1e-6)
     assert mixing.fit_exponent({}, 10, target_entropy=1) == 0.0 and mixing.temper({"a": 0}, 1) == {}
-    rows = [{"source": s, "weight": w_, "max_repeats": m, "tokens": n} for s, w_, m, n in (("a", 1, 1, 1000), ("b", 1, 2, 100), ("c", 2, 3, 0))]
-    assert mixing.budgets(rows, 600) == {"a": pytest.approx(400), "b": 200, "c": 0}
-    assert sum(mixing.budgets(rows, 5000).values()) == 1200 and mixing.budgets([], 5) == {}
+    target = {"a": 0.2, "b": 0.5, "c": 0.3}
+    assert mixing.temper(tokens, 1.0, target) == pytest.approx(target)
+    assert mixing.temper(tokens, 0.0, target) == pytest.approx({"a": 0.8, "b": 0.15, "c": 0.05})
+    assert mixing.fit_exponent(tokens, 1000, max_repeats={"a": 9, "b": 9, "c": 9}, target=target) == 1.0
+    x = mixing.fit_exponent(tokens, 1000, max_repeats={"a": 1, "b": 2, "c": 4}, target=target)
+    w = mixing.temper(tokens, x, target)
+    assert 0 < x < 1 and max(w["b"] / 0.15 / 2, w["c"] / 0.05 / 4) == pytest.approx(1, abs=1e-6)
 
 
 @needs_vocabulary
-def test_mix(spark):
-    docs = spark.createDataFrame([(i, "some words here", "a" if i % 3 else "B ") for i in range(3000)], "doc_id bigint, text string, source string")
-    sizes = {r.k: r.t for r in mixing.token_counts(docs).groupBy(mixing.source_key(F.col("source")).alias("k")).agg(F.sum("tokens").alias("t")).collect()}
-    got = mixing.mix(docs, {"a": sizes["a"] * 0.5, "B": sizes["b"] * 2.25}, {"a": sizes["a"], "B": sizes["b"]}).groupBy("source").agg(F.sum("tokens").alias("t"), F.max("copy").alias("c"), F.min(F.col("block")).alias("lo"), F.max("block").alias("hi"), F.countDistinct("doc_id").alias("n")).collect()
-    g = {r.source: r for r in got}
-    assert g["a"].t == pytest.approx(sizes["a"] * 0.5, rel=0.08) and g["b"].t == pytest.approx(sizes["b"] * 2.25, rel=0.05)
-    assert g["a"].c == 1 and g["b"].c == 3 and g["b"].n == 1000 and g["b"].lo == 0 and g["b"].hi == 63
+def test_mix_reaches_the_tempered_shares(spark):
+    docs = spark.createDataFrame([(i, "some words here " * (1 + i % 7), ["a", "B ", "b", "c"][i % 11 % 4]) for i in range(4000)], "doc_id bigint, text string, source string")
+    counted = mixing.sized(docs).cache()
+    target = spark.createDataFrame([("a", 1.0, 2), ("b", 3.0, 2), ("c", 9.0, 3), ("none", 1.0, 3)], "source string, weight double, max_repeats int")
+    rows = mixing.plan(mixing.source_sizes(counted, target))
+    most = counted.agg(F.max("tokens")).first()[0]
+    taken = [r.asDict() for r in mixing.mix(counted, rows).collect()]
+    for r in rows:
+        own = [t for t in taken if t["source"] == r["k"]]
+        assert r["budget"] - most <= sum(t["tokens"] for t in own) <= r["budget"] <= r["max_repeats"] * r["tokens"]
+        if own:
+            assert len({(t["doc_id"], t["copy"]) for t in own}) == len(own) and {t["block"] for t in own} == set(range(64))
+            per = [sum(t["tokens"] for t in own if t["block"] == b) for b in range(64)]
+            assert max(per) - min(per) <= 2 * most
+    assert 0 < rows[0]["exponent"] < 1 and [r["source"] for r in rows if r["short"]] == ["c", "none"]
+    assert {(t["doc_id"], t["copy"], t["block"]) for t in taken} == {(t.doc_id, t.copy, t.block) for t in mixing.mix(counted.repartition(3), rows).collect()}
 
 
 NOUNS = {
@@ -141,14 +159,3 @@ def test_nothing_to_learn(spark):
 def test_passages():
     assert list(passages("```\ncode here\n```\nThe Court ruled. fooBar a/b 12 X_Y <b>Bold</b>")) == [(3, ["the", "court", "ruled"]), (5, ["bold"])]
     assert list(passages(None)) == []
-
-
-@needs_vocabulary
-def test_mix_fills_block_by_block_up_to_the_budget(spark):
-    docs = spark.createDataFrame([(i, "some words here " * (1 + i % 7), "a") for i in range(3000)], "doc_id bigint, text string, source string")
-    size = mixing.token_counts(docs).agg(F.sum("tokens")).first()[0]
-    most = mixing.token_counts(docs).agg(F.max("tokens")).first()[0]
-    rows = mixing.mix(docs, {"a": size * 1.4}, {"a": size}).collect()
-    assert size * 1.4 - most < sum(r.tokens for r in rows) <= size * 1.4
-    second = sorted({r.block for r in rows if r.copy == 2})
-    assert second == list(range(len(second))) and len(second) < 40 and len({r.doc_id for r in rows if r.copy == 1}) == 3000
