@@ -82,8 +82,8 @@ def with_instant(
     ``zone`` is the column with the region for texts without a zone (none: UTC); where it is null or unknown such
     texts give null. ``ambiguous``: a local time that occurs twice gives ``null``, or the ``earlier`` / ``later``
     instant. ``nonexistent``: a local time skipped by the clocks gives ``null``, or is shifted ``forward`` by the
-    gap. ``date_order`` of ``NN/NN/YYYY``: ``unique`` accepts a date only if one order is possible or both mean
-    the same; ``day_first`` and ``month_first`` fix the order.
+    gap. ``date_order`` of ``NN/NN/YYYY``: ``unique`` accepts a date only if one order is a date or both are the
+    same, also where clocks skip the hour on one of them; ``day_first`` and ``month_first`` fix the order.
 
     Digits finer than microseconds are cut off, missing seconds are zero. Null: null, blank and unreadable texts,
     impossible dates, dates without a time, the zero time (year 1), and a weekday, bracketed region or
@@ -164,9 +164,9 @@ def with_instant(
     t = col("t")
     fraction = F.when(F.contains(t, F.lit(".")), F.substring_index(t, ".", -1)).otherwise("")
     seconds = _int(F.substring_index(t, ".", 1)) * 1_000_000 + _int(F.substring(F.rpad(fraction, 9, "0"), 1, 6))
-    number = F.when(F.length(t) == 13, _int(t) * 1000).when(F.length(t) == 16, _int(t)).when(F.length(t) == 19, F.floor(_int(t) / 1000))
+    number = F.when(F.length(t) == 13, _int(t) * 1000).when(F.length(t) == 16, _int(t)).when(F.length(t) == 19, _int(F.substring(t, 1, 16)))
     number = F.when(F.length(F.substring_index(t, ".", 1)) <= 10, seconds).otherwise(number)
-    found = F.when(t.rlike(EPOCH), F.array(number.cast("bigint"))).when(F.size(col("u")) == 1, col("u"))
+    found = F.when(t.rlike(EPOCH), F.array(number.cast("bigint"))).when((F.size(col("x")) == 1) & (F.size(col("u")) == 1), col("u"))
     # A generator ends the chain: the optimiser would otherwise push a filter on the result down through all
     # projections and repeat their expressions without end.
     return step(d, r=found).select(*(F.col(f"`{c}`") for c in kept), F.explode_outer(col("r")).alias(out))

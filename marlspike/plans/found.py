@@ -80,11 +80,12 @@ c AS (SELECT *, CASE WHEN length(l[1]) = 2 THEN 2000 + l[1]::INT ELSE try_cast(l
  try_cast(l[5] AS INT) AS mi, coalesce(try_cast(l[6] AS INT), 0) AS se, coalesce(try_cast(rpad(l[7], 6, '0')[1:6] AS BIGINT), 0) AS us, replace(replace(nullif(l[9], ''), '[', ''), ']', '') AS z FROM b),
 d AS (SELECT *, CASE WHEN regexp_matches(z, '^[+-]') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (z[2:3]::INT * 60 + coalesce(try_cast(replace(z[4:], ':', '') AS INT), 0)) ELSE map(['{zones}'], [{minutes}])[upper(z)] END AS off,
  CASE WHEN z IS NULL THEN zone WHEN contains(z, '/') THEN z END AS rg, h::BIGINT * 3600000000 + mi::BIGINT * 60000000 + se::BIGINT * 1000000 + us AS clock FROM c),
-e AS (SELECT *, unnest([try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, mo, dd) AS DATE), CASE WHEN l[11] = 'two' THEN try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, dd, mo) AS DATE) END]) AS day FROM d WHERE y > 1 AND h < 24 AND mi < 60 AND se < 60),
+q AS (SELECT *, try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, mo, dd) AS DATE) AS d1, CASE WHEN l[11] = 'two' THEN try_cast(format('{{:04d}}-{{:02d}}-{{:02d}}', y, dd, mo) AS DATE) END AS d2 FROM d),
+e AS (SELECT *, CASE WHEN d1 <> d2 THEN NULL ELSE coalesce(d1, d2) END AS day FROM q WHERE y > 1 AND h < 24 AND mi < 60 AND se < 60),
 f AS (SELECT *, make_timestamp(epoch_us(day) + clock) AS loc FROM e WHERE day IS NOT NULL),
 g AS (SELECT *, CASE WHEN off IS NOT NULL THEN [epoch_us(loc) - off::BIGINT * 60000000] WHEN rg IS NOT NULL THEN list_distinct(list_filter([epoch_us(timezone(rg, loc)), epoch_us(timezone(rg, loc)) - 3600000000, epoch_us(timezone(rg, loc)) + 3600000000], lambda x: timezone(rg, make_timestamptz(x)) = loc)) ELSE [] END AS us_ FROM f),
 p AS (SELECT DISTINCT v, zone, unnest(us_) AS u FROM g), one AS (SELECT v, zone, min(u) AS u FROM p GROUP BY ALL HAVING count(*) = 1),
-inst AS (SELECT a.* EXCLUDE (t), CASE WHEN regexp_matches(t, '^[0-9]{{9,10}}(\\.[0-9]+)?$') THEN split_part(t, '.', 1)::BIGINT * 1000000 + rpad(split_part(t, '.', 2), 6, '0')[1:6]::BIGINT WHEN regexp_matches(t, '^[0-9]{{13}}$') THEN t::BIGINT * 1000 WHEN regexp_matches(t, '^[0-9]{{16}}$') THEN t::BIGINT ELSE one.u END AS u FROM a LEFT JOIN one ON a.v = one.v AND a.zone IS NOT DISTINCT FROM one.zone)"""
+inst AS (SELECT a.* EXCLUDE (t), CASE WHEN regexp_matches(t, '^[0-9]{{9,10}}(\\.[0-9]+)?$') THEN split_part(t, '.', 1)::BIGINT * 1000000 + rpad(split_part(t, '.', 2), 6, '0')[1:6]::BIGINT WHEN regexp_matches(t, '^[0-9]{{13}}$') THEN t::BIGINT * 1000 WHEN regexp_matches(t, '^[0-9]{{16}}([0-9]{{3}})?$') THEN t[1:16]::BIGINT ELSE one.u END AS u FROM a LEFT JOIN one ON a.v = one.v AND a.zone IS NOT DISTINCT FROM one.zone)"""
 
 
 def _duck(to: str) -> str:
