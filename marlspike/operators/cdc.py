@@ -59,7 +59,6 @@ def issue_state(events: DataFrame) -> DataFrame:
     """
     kind = F.lower(F.trim("event"))
     e = events.select("project", "issue", "id", "instant_us", kind.alias("kind"), "label", "labels", "assignees", "milestone", "rename")
-    gone = e.filter("kind = 'deleted'").select("project", "issue").distinct()
     names = F.array_append(F.transform(F.coalesce("labels", F.array().cast("array<struct<name:string,description:string,color:string>>")), lambda x: x["name"]), F.col("label.name"))
     logins = F.transform("assignees", lambda x: F.lower(x["login"]))
     none = F.lit(None).cast("string")
@@ -74,7 +73,9 @@ def issue_state(events: DataFrame) -> DataFrame:
         return F.array(cell(item_kind, F.lit(""), value))
 
     cells = (
-        F.when(F.col("kind").isin("labeled", "unlabeled"), each("label", F.transform(names, lambda x: F.lower(F.trim(x))), "labeled"))
+        F.when(F.col("kind") == "deleted", one("deleted", F.lit("deleted")))
+        .when(F.col("instant_us").isNull(), None)
+        .when(F.col("kind").isin("labeled", "unlabeled"), each("label", F.transform(names, lambda x: F.lower(F.trim(x))), "labeled"))
         .when(F.col("kind").isin("assigned", "unassigned"), each("assignee", logins, "assigned"))
         .when(F.col("kind") == "closed", one("state", F.lit("closed")))
         .when(F.col("kind") == "reopened", one("state", F.lit("open")))
@@ -82,6 +83,10 @@ def issue_state(events: DataFrame) -> DataFrame:
         .when(F.col("kind") == "demilestoned", one("milestone", none))
         .when((F.col("kind") == "renamed") & F.col("rename.to").isNotNull(), one("title", F.col("rename.to")))
     )
-    rows = e.filter("instant_us IS NOT NULL").select("project", "issue", "id", "instant_us", F.inline(cells))
+    # A deletion holds whenever it comes, so it has one place in time and is a cell of its own.
+    rows = e.select("project", "issue", F.when(F.col("kind") == "deleted", 0).otherwise(F.col("id")).alias("id"), F.when(F.col("kind") == "deleted", 0).otherwise(F.col("instant_us")).alias("instant_us"), F.inline(cells))
     last = apply_cells(rows, ["project", "issue"], ["item_kind", "field"], ["instant_us", "id"])
-    return last.join(gone, ["project", "issue"], "left_anti").select("project", "issue", "item_kind", F.col("value").alias("item"))
+    # Asked of the outcome, not of the key, so that both sides read the same shuffle.
+    deletion = F.concat("item_kind", "value") == "deleteddeleted"
+    gone = last.filter(deletion).select("project", "issue")
+    return last.filter(~deletion).join(gone, ["project", "issue"], "left_anti").select("project", "issue", "item_kind", F.col("value").alias("item"))
