@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,13 +12,13 @@ from marlspike.functions.text import clean_url, links, url_allowed
 from marlspike.session import cut
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: list[tuple[str, bool]], known: DataFrame | None = None, now: int = 0, recrawl: int = 86_400_000_000, max_rounds: int = 100) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: list[tuple[str, bool]], known: DataFrame | None = None, now: int = 0, recrawl: int = 86_400_000_000, max_rounds: int | None = None) -> DataFrame:
     """All pages reached from ``seeds`` (``url``) over allowed links: (url, from_url, round, html).
 
     ``fetch`` maps (url, from_url) to the same with ``html``, null where a page can't be had. Each address is visited
     once per run, without fragment and query; those in ``known`` (``url``, ``last_crawl``) younger than ``recrawl`` are
     passed over. A round is one anti-join against all pages seen, written to the shared folder; nothing is
-    gathered. Stops when a round finds nothing new, or after ``max_rounds``.
+    gathered. Stops when a round finds nothing new; if pages are left after ``max_rounds`` it raises.
     """
     fresh = None if known is None else known.filter(F.col("last_crawl") > now - recrawl).select("url")
 
@@ -30,10 +31,12 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: list
     rounds: list[DataFrame] = []
     seen: DataFrame | None = None
     todo = due(seeds.select("url", F.lit(None).cast("string").alias("from_url")), None)
-    for n in range(max_rounds):
+    for n in itertools.count():
         pages = cut(fetch(todo).select("url", "from_url", F.lit(n).alias("round"), "html"))
         if not pages.limit(1).count():
             break
+        if max_rounds is not None and n >= max_rounds:
+            raise ValueError(f"pages are left after {max_rounds} rounds")
         rounds.append(pages)
         seen = pages if seen is None else seen.unionByName(pages)
         todo = due(pages.select(F.explode(links(F.col("html"), F.col("url"))).alias("_l"), F.col("url").alias("from_url")).select(F.col("_l").alias("url"), "from_url"), seen)

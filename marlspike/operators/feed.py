@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspike.operators.ordered import running_sum
-from marlspike.session import small
+from marlspike.session import cut
 
 
 def point_get(df: DataFrame, key: str, value) -> DataFrame:
@@ -40,17 +40,36 @@ def delete_range(df: DataFrame, key: str, start, end) -> DataFrame:
 def overlay_read(base: DataFrame, overlay: DataFrame, key: str, points: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """ST-7, ST-8, SO-1: overlay rows, and base rows hidden neither by them nor by point or range tombstones.
 
-    ``points`` has the key column, ``ranges`` has ``lo`` and ``hi``, both ends included. Range tombstones are
-    broadcast only where they are proven few.
+    ``points`` has the key column, ``ranges`` has ``lo`` and ``hi``, both ends included.
     """
     rows = base.join(overlay.select(key), key, "left_anti")
     if points is not None:
         rows = rows.join(points.select(key), key, "left_anti")
     if ranges is not None:
-        rows = rows.join(small(ranges.select("lo", "hi"), 10_000), F.col(key).between(F.col("lo"), F.col("hi")), "left_anti")
+        rows = outside(rows, key, ranges)
     return rows.unionByName(overlay)
 
 
+def outside(rows: DataFrame, key: str, ranges: DataFrame, few: int = 10_000) -> DataFrame:
+    """ST-4, ST-8: ``rows`` whose key no range (``lo``, ``hi``) covers; null keys stay.
+
+    A few ranges are broadcast, after a count. More are sorted together with the keys: the furthest end of the ranges
+    begun so far is carried along within each sorted piece and from the pieces before it.
+    """
+    ranges = ranges.select("lo", "hi").filter("lo <= hi")
+    if ranges.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(ranges), F.col(key).between(F.col("lo"), F.col("hi")), "left_anti")
+    keys = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct().withColumn("_hi", F.lit(None).cast(dict(ranges.dtypes)["hi"]))
+    both = ranges.select(F.col("lo").alias("_k"), F.col("hi").alias("_hi")).unionByName(keys).withColumn("_q", F.col("_hi").isNull())
+    ranged = cut(both.repartitionByRange("_k", "_q").withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    ends = ranged.groupBy("_p").agg(F.max("_hi").alias("_m")).select("_p", F.max("_m").over(before).alias("_before"))
+    inside = Window.partitionBy("_p").orderBy("_k", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.withColumn("_end", F.max("_hi").over(inside)).filter("_q").join(F.broadcast(ends), "_p")
+    covered = held.filter(F.greatest("_end", "_before") >= F.col("_k")).select(F.col("_k").alias(key))
+    return rows.join(covered, key, "left_anti")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
     """ST-9, ST-10, JN-10: what turns ``old`` into ``new`` as (key, change): set for added or differing, delete for gone."""
     a = old.select(key, F.struct(*values).alias("_a"))
@@ -85,17 +104,24 @@ def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str], order
 def feed_time_after(log: DataFrame, times: DataFrame, wall: str, mod_time: str, at: str) -> DataFrame:
     """JN-7: for each ``at`` the feed time of the first entry with a later wall time, null if there is none.
 
-    An entry of the same day is found by an equality join; beyond it the first entry of the next day that has any
-    decides, and days are few.
+    Entries and questions are range-sorted together by time; within a range the next entry is carried back by a
+    window, and beyond its end the first entry of a later range is taken, of which there is one per partition. So
+    neither a busy day nor a busy instant meets more than its own rows.
     """
-    day = lambda c: F.floor(F.col(c) / F.lit(86_400_000_000))
-    entries = log.select(F.col(wall).alias("_w"), F.col(mod_time).alias("_m")).filter("_w IS NOT NULL").withColumn("_day", day("_w"))
-    asked = times.select(at).distinct().withColumn("_day", day(at))
-    same = asked.join(entries, "_day").filter(F.col("_w") > F.col(at)).groupBy(at).agg(F.min(F.struct("_w", "_m")).alias("_hit"))
-    firsts = entries.groupBy(F.col("_day").alias("_d2")).agg(F.min(F.struct("_w", "_m")).alias("_o"))
-    later = asked.select("_day").distinct().join(small(firsts, 100_000), F.col("_d2") > F.col("_day")).groupBy("_day").agg(F.min("_o").alias("_next"))
-    found = asked.join(same, at, "left").join(later, "_day", "left").select(at, F.coalesce("_hit._m", "_next._m").alias("feed_time"))
-    return times.join(found, at, "left")
+    entries = log.select(F.col(wall).alias("_t"), F.struct(F.col(wall).alias("w"), F.col(mod_time).alias("m")).alias("_e")).filter("_t IS NOT NULL").groupBy("_t").agg(F.min("_e").alias("_e"))
+    asked = times.select(F.col(at).alias("_t")).filter("_t IS NOT NULL").distinct().withColumn("_e", F.lit(None).cast(dict(entries.dtypes)["_e"]))
+    # Of equal times the entry comes first, so that it isn't later than the question.
+    both = entries.unionByName(asked).withColumn("_q", F.col("_e").isNull())
+    ranged = cut(both.repartitionByRange("_t", "_q").withColumn("_p", F.spark_partition_id()))
+    firsts = ranged.filter("NOT _q").groupBy("_p").agg(F.min("_e").alias("_first"))
+    parts = ranged.select("_p").distinct().join(firsts, "_p", "left")
+    beyond = Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)  # a row per partition
+    parts = parts.select("_p", F.first("_first", ignorenulls=True).over(beyond).alias("_next"))
+    # The frame runs backwards over the reversed order, so each row costs one step.
+    back = Window.partitionBy("_p").orderBy(F.desc("_t"), F.desc("_q")).rowsBetween(Window.unboundedPreceding, -1)
+    near = ranged.withColumn("_n", F.last("_e", ignorenulls=True).over(back)).filter("_q").join(F.broadcast(parts), "_p")
+    found = near.select(F.col("_t").alias("_at"), F.coalesce("_n.m", "_next.m").alias("feed_time"))
+    return times.join(found, F.col(at) == F.col("_at"), "left").drop("_at")
 
 
 def running_sum_keep(df: DataFrame, group: list[str], order: list[str], size: Column, limit: int) -> DataFrame:

@@ -80,23 +80,30 @@ def drop_first_self(hits: DataFrame, self_id, keep: int, id_col: str = "id") ->
     return first.orderBy("_r").limit(keep).drop("_r")
 
 
-def batch_top_k(df: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id", vec: str = "vec", block: int = 512, max_queries: int = 1_000_000) -> DataFrame:
+def batch_top_k(df: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "id", vec: str = "vec", block: int = 512, held: int = 8_000_000) -> DataFrame:
     """VS-4 for a set of queries against all rows, exactly: (query, id, score), larger ids first on ties.
 
-    Queries are cut into numbered blocks; each block meets the rows as matrix products in one pass, rows never meet
-    in pairs, and every task keeps ``k`` per query before anything is shuffled. Self hits stay in.
+    Queries are cut into sets of about ``held`` numbers, which bounds what a task and the driver hold; each set meets the
+    rows as matrix products in one pass, rows never meet in pairs, and every task keeps ``k`` per query before
+    anything is shuffled. Self hits stay in; vectors of another length are passed over; no query is left out.
     """
-    n = queries.filter(F.size(vec) == dim).limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries: run them in several sets")
+    asked = queries.filter(F.size(vec) == dim).select(F.col(id_col).alias("query"), F.col(vec).alias("qv"))
+    sets = max(1, -(-asked.count() * dim // held))
     rows = df.filter(F.size(vec) == dim).select(id_col, vec)
-    blocks = max(1, -(-n // block))
-    qs = queries.filter(F.size(vec) == dim).select(F.col(id_col).alias("query"), F.col(vec).alias("qv")).withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    grouped = qs.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("query", "qv"))).alias("qs"))
+    out = None
+    for n in range(sets):
+        part = _one_set(rows, asked.filter(F.pmod(F.xxhash64("query"), F.lit(sets)) == n), k, id_col, vec, block)
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("id"))
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _one_set(rows: DataFrame, asked: DataFrame, k: int, id_col: str, vec: str, block: int) -> DataFrame:
+    """The best ``k`` rows of each task for each query of one bounded set."""
     kind = dict(rows.dtypes)[id_col]
-    sent = grouped.collect()  # at most max_queries vectors
-    data = [([q["query"] for q in g["qs"]], np.array([q["qv"] for q in g["qs"]], dtype=np.float64)) for g in sent]
-    shared = df.sparkSession.sparkContext.broadcast(data)
+    sent = asked.toPandas().sort_values("query", ignore_index=True)
+    data = [(list(sent["query"][i : i + block]), np.array(list(sent["qv"][i : i + block]), dtype=np.float64)) for i in range(0, len(sent), block)]
+    shared = rows.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[tuple | None] = [None] * len(shared.value)
@@ -118,9 +125,7 @@ def batch_top_k(df: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str
                 s, d = best[i]
                 yield pd.DataFrame({"query": np.repeat(np.array(names), s.shape[1]), "id": d.ravel(), "score": s.ravel()})
 
-    part = rows.mapInPandas(run, f"query {kind}, id {kind}, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("id"))
-    return part.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return rows.mapInPandas(run, f"query {kind}, id {kind}, score double")
 
 
 def quote_embed(text: Column) -> Column:

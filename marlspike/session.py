@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.ui.enabled": "false",
+    # What an operator wrote to cut its lineage goes once nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,10 +37,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``, a temporary one only where it is unset."""
+    """The shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``; a temporary one only in a single process.
+
+    Other machines can't read a local folder, so a cluster that names no shared one is an error.
+    """
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="marlspike-", dir=os.environ.get("TMPDIR"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
