@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.timestamps import _MONTHS, ABBREVIATIONS, CASCADE, with_instant
 from marlspike.operators.cdc import issue_state
-from marlspike.operators.shred import shred
+from marlspike.operators.shred import places, shred, table
 from marlspike.session import latest, load, small
 
 
@@ -45,21 +47,44 @@ P4_LEAVES = {"labels": "name", "assignees": "login", "reactions.groups": "conten
 P4_SET, P4_TAGS = "attention_set", "attention_set.account.tags"
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of the nested members of tracker events and changes, with the place they come from."""
+_P4_KEYS = ["src", "project", "rec_id"]
+
+
+def _tracker_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled nodes of the newest version of every tracker event."""
     te = latest(load(spark, sf_dir, "tracker_event"), ["project", "issue", "api", "id"], ["mod_time"], ["json"])
     te = te.select(F.concat(F.lit("tracker_event"), "api").alias("src"), "project", F.col("id").alias("rec_id"), "json")
-    keys = ["src", "project", "rec_id"]
-    a = shred(te, "json", keys, lists=list(P4_LEAVES), keep=list(P4_LEAVES))
-    member = F.create_map(*(F.lit(x) for kv in P4_LEAVES.items() for x in kv))
-    a = a.withColumn("leaf", F.coalesce(F.col("fields")[""], F.col("fields")[member[F.col("path")]])).filter("leaf IS NOT NULL")
+    return shred(te, "json", _P4_KEYS, lists=list(P4_LEAVES), keep=list(P4_LEAVES))
+
 
+def _change_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled nodes of the attention sets of the newest version of every change."""
     ci = load(spark, sf_dir, "change_info").select("project", "number", "mod_time", F.to_json("attention_set", {"ignoreNullFields": "false"}).alias("json"))
     ci = latest(ci, ["project", "number"], ["mod_time"]).select(F.lit("change_info").alias("src"), "project", F.col("number").alias("rec_id"), "json")
-    b = shred(ci, "json", keys, maps=[P4_SET], lists=[P4_TAGS], keep=[P4_SET, P4_TAGS], root=P4_SET).filter("kind <> 'null'")
+    return shred(ci, "json", _P4_KEYS, maps=[P4_SET], lists=[P4_TAGS], keep=[P4_SET, P4_TAGS], root=P4_SET).filter("kind <> 'null'")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the nested members of tracker events and changes, with the place that their labels give."""
+    member = F.create_map(*(F.lit(x) for kv in P4_LEAVES.items() for x in kv))
+    a = _tracker_nodes(spark, sf_dir).withColumn("leaf", F.coalesce(F.col("fields")[""], F.col("fields")[member[F.col("path")]]))
     leaf = F.when(F.col("path") == P4_SET, F.coalesce(F.col("fields")["account.email"], F.lit(""))).otherwise(F.col("fields")[""])
-    b = b.withColumn("leaf", leaf).filter("leaf IS NOT NULL")
-    return a.unionByName(b).select("src", "project", "rec_id", "path", "pos", "leaf")
+    b = _change_nodes(spark, sf_dir).withColumn("leaf", leaf)
+
+    def flat(rows: DataFrame, tables: list[str], maps: list[str]) -> DataFrame:
+        pos = F.coalesce(*(F.when(F.col("path") == p, places(p, tables, maps)) for p in tables))
+        return rows.filter("leaf IS NOT NULL").select(*_P4_KEYS, "path", pos.alias("pos"), "leaf")
+
+    return flat(a, list(P4_LEAVES), []).unionByName(flat(b, [P4_SET, P4_TAGS], [P4_SET]))
+
+
+def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The related tables of tracker events and changes, one above the other: each row with its id and its parent's table and id."""
+    a, b = _tracker_nodes(spark, sf_dir), _change_nodes(spark, sf_dir)
+    maps = [P4_SET]
+    parts = [table(a, p, {}, _P4_KEYS, list(P4_LEAVES)).withColumn("path", F.lit(p)) for p in P4_LEAVES]
+    parts += [table(b, p, {}, _P4_KEYS, [P4_SET, P4_TAGS], maps).withColumn("path", F.lit(p)) for p in (P4_SET, P4_TAGS)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # ---- SQL counterparts, for DuckDB

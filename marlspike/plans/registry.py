@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from marlspike.plans import core, found
 
-QUERIES = core.QUERIES | {"p1_found": found.p1_found, "p4_found": found.p4_found, "p5_found": found.p5_found}
+QUERIES = core.QUERIES | {"p1_found": found.p1_found, "p4_found": found.p4_found, "p4_tables": found.p4_tables, "p5_found": found.p5_found}
 ORACLE = core.ORACLE | {"p1_found": found.P1_SQL, "p4_found": found.P4_SQL, "p5_found": found.P5_SQL}

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from marlspike.operators.cdc import apply_cells, apply_changes, issue_state
-from marlspike.operators.shred import parent, read_json, shred, table
+from marlspike.operators.shred import _deep, parent, places, read_json, shred, table
 from marlspike.session import latest
 
 LISTS = ["labels", "reactions.groups", "reactions.groups.users"]
@@ -26,7 +26,7 @@ def test_shapes_of_lists(spark):
         '{"labels": null}',
         "{}",
     ]
-    got = [(r["id"], r["pos"], r["kind"], r["fields"].get("name", r["fields"].get(""))) for r in nodes(spark, *texts, lists=LISTS, keep=["labels"]).orderBy("id", "dewey").collect()]
+    got = [(r["id"], r["pos"], r["kind"], r["fields"].get("name", r["fields"].get(""))) for r in nodes(spark, *texts, lists=LISTS, keep=["labels"]).withColumn("pos", places("labels", LISTS)).orderBy("id", "dewey").collect()]
     assert got == [
         (0, "0", "object", "a"), (0, "1", "null", None), (0, "2", "scalar", "b"), (0, "3", "object", None),
         (1, "0", "object", "a"), (2, "0", "object", "e"), (3, "0", "scalar", "solo"), (4, "0", "object", "one"),
@@ -36,22 +36,66 @@ def test_shapes_of_lists(spark):
 def test_nested_places_and_parents(spark):
     t = json.dumps({"reactions": {"groups": [{"content": "+1", "users": []}, {"content": "eyes", "users": [{"login": "u"}, "v"]}]}})
     n = nodes(spark, t, lists=LISTS)
-    users = table(n, "reactions.groups.users", {"login": "login", "bare": ""}, ["id"]).orderBy("pos").collect()
+    users = table(n, "reactions.groups.users", {"login": "login", "bare": ""}, ["id"], LISTS).orderBy("pos").collect()
     assert [(r["pos"], r["login"], r["bare"]) for r in users] == [("1.0", "u", None), ("1.1", None, "v")]
-    groups = {r["dewey"] for r in n.filter("path = 'reactions.groups'").collect()}
-    above = n.filter("path = 'reactions.groups.users'").select(parent(parent(F.col("dewey"))).alias("p")).collect()
-    assert {r["p"] for r in above} <= groups
+    groups = {r["dewey"]: r["fields"]["content"] for r in n.filter("path = 'reactions.groups'").collect()}
+    assert [(r["parent_table"], groups[r["parent_id"]]) for r in users] == [("reactions.groups", "eyes")] * 2
+    top = table(n, "reactions.groups", {}, ["id"], LISTS).collect()
+    assert {(r["parent_table"], r["parent_id"]) for r in top} == {("", "0")} and parent("a", ["a"])[0] == ""
 
 
 def test_maps(spark):
     t = '{"7": {"account": {"email": "e", "tags": ["t", null]}}, "8": null}'
-    got = nodes(spark, t, maps=["s"], lists=["s.account.tags"], root="s", keep=["s", "s.account.tags"])
-    assert sorted((r["path"], r["pos"], r["kind"]) for r in got.collect()) == [("s", "7", "object"), ("s", "8", "null"), ("s.account.tags", "7.0", "scalar"), ("s.account.tags", "7.1", "null")]
+    two = ["s", "s.account.tags"]
+    got = nodes(spark, t, maps=["s"], lists=["s.account.tags"], root="s", keep=two)
+    rows = [r for p in two for r in table(got, p, {}, ["id"], two, ["s"]).withColumn("path", F.lit(p)).collect()]
+    assert sorted((r["path"], r["pos"], r["kind"]) for r in rows) == [("s", "7", "object"), ("s", "8", "null"), ("s.account.tags", "7.0", "scalar"), ("s.account.tags", "7.1", "null")]
+    ids = {r["node_id"]: r["pos"] for r in rows if r["path"] == "s"}
+    assert {ids[r["parent_id"]] for r in rows if r["path"] != "s"} == {"7"}
+
+
+def test_lists_in_lists(spark):
+    n = nodes(spark, '{"m": [[1, 2], [3]]}', lists=["m"])
+    got = n.filter("path = 'm[]'").withColumn("pos", places("m[]", ["m", "m[]"])).select("pos", "fields").collect()
+    assert [(r["pos"], r["fields"][""]) for r in got] == [("0.0", "1"), ("0.1", "2"), ("1.0", "3")]
 
 
 def test_readability():
     assert read_json(chr(0xFEFF) + "{}") == {} and read_json(")]}'\n{}") == {} and read_json('"{}"') == {}
+    wrapped = "{}"
+    for _ in range(6):
+        wrapped = json.dumps(wrapped)
+    assert read_json(wrapped) == {} and read_json('"plain"') is None
     assert read_json('{"a": ') is None and read_json(None) is None and read_json("") is None and read_json("[" * 100000) is None
+    v = read_json("[" * 100_000 + "1" + "]" * 100_000)
+    for _ in range(100_000):
+        v = v[0]
+    assert v == 1
+
+
+def test_deep_parser_against_json():
+    rnd = random.Random(5)
+
+    def value(d):
+        kind = rnd.randrange(7 if d else 5)
+        if kind > 4:
+            return [value(d - 1) for _ in range(rnd.randrange(4))] if kind == 5 else {f"k{i} \\ é": value(d - 1) for i in range(rnd.randrange(4))}
+        return [None, True, -1.5e3, "a\"b\\ \n{}[]:,", 12][kind]
+
+    for _ in range(200):
+        v = value(4)
+        text = json.dumps(v, indent=rnd.choice([None, 2]), ensure_ascii=rnd.random() < 0.5)
+        assert _deep(text) == v
+        broken = text[: rnd.randrange(len(text))] + rnd.choice(["", "]", "}", ",", "x"]) + text[rnd.randrange(len(text)) :]
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            want = "bad"
+        try:
+            got = _deep(broken)
+        except ValueError:
+            got = "bad"
+        assert got == want, broken
 
 
 def test_unreadable_empty_repeated_and_deep(spark):
