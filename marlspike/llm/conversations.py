@@ -1,8 +1,10 @@
 """Conversations from message rows: sessions by channel, reply trees in reading order, roles, soundness.
 
-A channel is split at inactivity gaps if a gap is given; where the channel itself is the conversation, as with
-discussions, no gap applies. Reading order puts each message at the end of the path of its ancestors and sorts
-by path; paths come from pointer doubling and ranks from a range sort, so no channel is ever gathered in a task.
+Messages are sorted by time and split where a channel is silent for longer than a gap; where the channel itself is the
+conversation, as with discussions, the gap has no end. Sessions that are broken or lack the replies asked for are
+dropped. Reading order puts each message at the end of the path of its ancestors and sorts by path; paths come from
+pointer doubling and ranks from a range sort, so no channel is ever gathered in a task. A path is as long as its
+message is deep.
 """
 
 from __future__ import annotations
@@ -52,14 +54,16 @@ def calibrate_gap(messages: DataFrame, channel: list[str], accuracy: int = 10_00
     return max(3_600_000_000, int(q or 0))
 
 
-def sessionize(messages: DataFrame, channel: list[str], gap_us: int) -> DataFrame:
+def sessionize(messages: DataFrame, channel: list[str], gap_us: int | None) -> DataFrame:
     """``messages`` (channel keys, ``at`` in microseconds) with ``session_no``, counted from 1 in each channel.
 
     A session ends where more than ``gap_us`` pass without a message. Time is cut into buckets as wide as the gap:
     none of them holds a break, so only the first and last time of each bucket are compared, of which a channel
-    has at most (time span / gap). Null times get the session null; equal times share a session; repeated rows
-    stay; an empty table stays empty.
+    has at most (time span / gap). Without a gap every channel is session 1. Null times get the session null where
+    there is a gap; equal times share a session; repeated rows stay; an empty table stays empty.
     """
+    if gap_us is None:
+        return messages.withColumn("session_no", F.lit(1).cast("bigint"))
     bucket = F.floor(F.col("at") / F.lit(gap_us))
     ends = messages.filter("at IS NOT NULL").groupBy(*channel, bucket.alias("_b")).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
     w = Window.partitionBy(*channel).orderBy("_b")
@@ -68,19 +72,11 @@ def sessionize(messages: DataFrame, channel: list[str], gap_us: int) -> DataFram
     return messages.withColumn("_b", bucket).join(numbered, [*channel, "_b"], "left").drop("_b")
 
 
-def reciprocal_sessions(sessions: DataFrame, channel: list[str]) -> DataFrame:
-    """(channel keys, session_no, turns, speakers, first_us, last_us) of the sessions in which one speaker replies to another.
-
-    ``sessions``: channel keys, ``session_no``, ``id``, ``parent``, ``at``, ``login``. A missing login is a speaker
-    other than every known one; missing ones can't be told apart and count as one speaker, so a reply among them
-    is none to another.
-    """
-    p = sessions.select(*channel, "session_no", F.col("id").alias("parent"), F.col("login").alias("_to"), F.lit(True).alias("_there"))
-    s = sessions.join(p, [*channel, "session_no", "parent"], "left")
-    answered = F.max(F.coalesce("_there", F.lit(False)) & ~F.col("_to").eqNullSafe(F.col("login")))
-    speakers = F.countDistinct("login") + F.max(F.col("login").isNull().cast("int"))
-    out = s.groupBy(*channel, "session_no").agg(F.count(F.lit(1)).alias("turns"), speakers.alias("speakers"), F.min("at").alias("first_us"), F.max("at").alias("last_us"), answered.alias("reciprocal"))
-    return out.filter("reciprocal").drop("reciprocal")
+#: What makes a session a conversation, as aggregates over (role, login, replied, to_login): somebody other than the asker
+#: and bots speaks; or one speaker replies to another. A missing login is a speaker other than every known one; missing
+#: ones can't be told apart, so a reply among them is none to another.
+ANSWERED = "coalesce(max(role IN ('maintainer', 'participant')), false)"
+RECIPROCAL = "coalesce(max(replied AND NOT (login <=> to_login)), false)"
 
 
 def reply_paths(messages: DataFrame, channel: list[str]) -> DataFrame:
@@ -103,20 +99,25 @@ def reply_paths(messages: DataFrame, channel: list[str]) -> DataFrame:
     return messages.join(good, [*channel, "id"])
 
 
-def conversations(messages: DataFrame, channel: list[str]) -> DataFrame:
-    """Sound conversations as (channel keys, turn_no, comment_id, speaker_role).
+def conversations(messages: DataFrame, channel: list[str], gap_us: int | None = None, cut_replies: bool = False, sound: str = ANSWERED) -> DataFrame:
+    """Sound conversations: the rows of ``messages`` in them, with ``session_no`` and ``turn_no``.
 
-    ``messages``: channel keys, ``id`` (unique), ``parent``, ``at``, ``role``. A channel is sound if each of its
-    messages has a time, each parent is a message of the same channel that isn't later, replies form no circle, and
-    somebody other than the asker and bots speaks. Broken channels vanish whole; an empty table gives an empty one.
+    ``messages``: channel keys, ``id`` (unique), ``parent``, ``at`` in microseconds, ``role``, ``login``; nothing else passes
+    through. Channels are split at silences longer than ``gap_us``. A session is sound if each of its messages has a
+    time, each parent is a message of the same session that isn't later, replies form no circle, and the aggregate
+    ``sound`` holds. With ``cut_replies`` a reply to another session of the channel counts as none. Broken sessions vanish
+    whole, and messages without a time do where there is a gap; an empty table gives an empty one.
     """
-    m = cut(messages.select(*channel, "id", "parent", "at", "role"))
-    p = m.select(*channel, F.col("id").alias("parent"), F.lit(True).alias("_there"), F.col("at").alias("_pat"))
+    numbered = sessionize(messages.select(*channel, "id", "parent", "at", "role", "login"), channel, gap_us).filter("session_no IS NOT NULL")
+    m, key = cut(numbered), [*channel, "session_no"]
+    p = m.select(*channel, F.col("session_no").alias("_psession"), F.col("id").alias("parent"), F.lit(True).alias("_there"), F.col("at").alias("_pat"), F.col("login").alias("to_login"))
     seen = m.join(p, [*channel, "parent"], "left")
-    fine = F.col("at").isNotNull() & (F.col("parent").isNull() | F.coalesce(F.col("_pat") <= F.col("at"), F.lit(False)))
-    sound = seen.groupBy(*channel).agg(F.min(fine).alias("_fine"), F.max(F.col("role").isin("maintainer", "participant")).alias("_answered")).filter("_fine AND _answered").select(*channel)
-    paths = reply_paths(cut(m.join(sound, channel, "left_semi")), channel)
-    ringed = paths.filter("path IS NULL").select(*channel).distinct()
-    whole = paths.join(ringed, channel, "left_anti").select(*channel, "id", "role", "path")
-    ranked = rank_in(whole, channel, ["path"], "turn_no")
-    return ranked.select(*channel, "turn_no", F.col("id").alias("comment_id"), F.col("role").alias("speaker_role"))
+    same = F.coalesce(F.col("_psession") == F.col("session_no"), F.lit(False))
+    away = F.coalesce("_there", F.lit(False)) & ~same & F.lit(cut_replies)
+    seen = seen.withColumns({"replied": same, "parent": F.when(~away, F.col("parent"))})
+    fine = F.col("at").isNotNull() & (F.col("parent").isNull() | (same & F.coalesce(F.col("_pat") <= F.col("at"), F.lit(False))))
+    good = seen.groupBy(*key).agg(F.min(fine).alias("_fine"), F.expr(sound).alias("_sound")).filter("_fine AND _sound").select(*key)
+    kept = seen.select(*key, "id", "parent", "at", "role", "login") if cut_replies else m
+    paths = reply_paths(cut(kept.join(good, key, "left_semi")), key)
+    ringed = paths.filter("path IS NULL").select(*key).distinct()
+    return rank_in(paths.join(ringed, key, "left_anti"), key, ["path"], "turn_no").drop("path")

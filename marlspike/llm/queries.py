@@ -16,14 +16,10 @@ from marlspike.session import cut, latest, load, small
 
 
 def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """login in lower case -> kind; where several accounts share a login, a bot wins, then a maintainer."""
-    kind = F.lower(F.trim("kind"))
-    return small(
-        load(spark, sf_dir, "account")
-        .filter("login IS NOT NULL")
-        .groupBy(F.lower("login").alias("login"))
-        .agg(F.when(F.max(kind == "bot"), "bot").when(F.max(kind == "maintainer"), "maintainer").alias("kind"))
-    )
+    """login in lower case -> kind; where accounts that share a login are of several kinds, none can be told and there is no row."""
+    accounts = load(spark, sf_dir, "account").filter("login IS NOT NULL").select(F.lower("login").alias("login"), F.lower(F.trim("kind")).alias("kind"))
+    one = accounts.groupBy("login").agg(F.min("kind").alias("kind"), F.max("kind").alias("_max")).filter("kind = _max")
+    return small(one.filter(F.col("kind").isin("bot", "maintainer")).select("login", "kind"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +37,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sound discussion as an ordered sequence of comments; the discussion is the session, so no gap applies."""
-    return conv.conversations(messages(spark, sf_dir), ["project", "discussion"])
+    """Every sound discussion as an ordered sequence of comments. No silence ends a discussion, so each is one session."""
+    rows = conv.conversations(messages(spark, sf_dir), ["project", "discussion"], gap_us=None)
+    return rows.select("project", "discussion", "turn_no", F.col("id").alias("comment_id"), F.col("role").alias("speaker_role"))
 
 
 def p2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discussions split at a calibrated inactivity gap: size of each session and whether two speakers take turns in it."""
+    """Discussions split at a calibrated inactivity gap, in reading order, with the sessions in which one speaker replies to another."""
     m = cut(messages(spark, sf_dir).filter("at IS NOT NULL"))
     channel = ["project", "discussion"]
-    return conv.reciprocal_sessions(conv.sessionize(m, channel, conv.calibrate_gap(m, channel)), channel)
+    rows = conv.conversations(m, channel, gap_us=conv.calibrate_gap(m, channel), cut_replies=True, sound=conv.RECIPROCAL)
+    return rows.groupBy(*channel, "session_no").agg(F.count(F.lit(1)).alias("turns"), F.min("at").alias("first_us"), F.max("at").alias("last_us"), F.min_by("id", "turn_no").alias("first_id"), F.max_by("id", "turn_no").alias("last_id"))
 
 
 def p3_neighbors(spark: SparkSession, sf_dir: str, min_score: float = -1.0) -> DataFrame:
@@ -127,6 +125,29 @@ QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p3_found": p3_foun
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_composition": p8_composition}
 _REF = r"^(https?:)?//[^/]+/+(repos/+)?([^/?#]+)/+([^/?#]+)/+discussions/+([0-9]+)([/?#].*)?$"
 
+_MESSAGES = rf"""c AS (SELECT * FROM (SELECT *, regexp_extract(url, '([0-9]+)$', 1)::BIGINT AS id FROM discussion_comment) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, mod_time DESC) = 1),
+d AS (SELECT project, number, lower(author.login) AS asker FROM discussion QUALIFY row_number() OVER (PARTITION BY project, number ORDER BY mod_time DESC) = 1),
+k AS (SELECT lower(login) AS login, min(kind) AS kind FROM account WHERE login IS NOT NULL GROUP BY 1 HAVING count(DISTINCT kind) = 1 AND min(kind) IN ('bot', 'maintainer')),
+m AS (SELECT d.project, d.number AS discussion, c.id, try_cast(nullif(regexp_extract(reply_to_url, '#discussioncomment-([0-9]+)$', 1), '') AS BIGINT) AS parent, epoch_us(try_cast(created_at AS TIMESTAMPTZ)) AS at,
+ CASE WHEN lower(c.author.login) = d.asker THEN 'asker' ELSE coalesce(k.kind, 'participant') END AS role, lower(c.author.login) AS login
+ FROM c JOIN d ON lower(regexp_extract(discussion_url, '{_REF}', 3) || '/' || regexp_extract(discussion_url, '{_REF}', 4)) = lower(d.project) AND try_cast(regexp_extract(discussion_url, '{_REF}', 5) AS BIGINT) = d.number LEFT JOIN k ON k.login = lower(c.author.login)
+ WHERE regexp_matches(body, '[^\s\pZ\x{{85}}]'))"""
+
+#: The same gap rule as in ``calibrate_gap``, on exact quantiles; replies across sessions count as none.
+_SESSIONS = rf"""WITH RECURSIVE {_MESSAGES},
+t AS (SELECT * FROM m WHERE "at" IS NOT NULL),
+took AS (SELECT t.at - p.at AS d FROM t JOIN t p ON p.id = t.parent AND p.project = t.project AND p.discussion = t.discussion WHERE t.at >= p.at),
+gap AS (SELECT greatest(3600000000, coalesce(quantile_disc(d, 0.99), 0)) AS g FROM took),
+b AS (SELECT t.*, CASE WHEN "at" - lag("at") OVER (PARTITION BY project, discussion ORDER BY "at") > g THEN 1 ELSE 0 END AS new FROM t, gap),
+n AS (SELECT *, 1 + sum(new) OVER (PARTITION BY project, discussion ORDER BY "at" RANGE UNBOUNDED PRECEDING) AS s FROM b),
+r AS (SELECT n.* EXCLUDE (parent), p.id IS NOT NULL AS there, p.at AS pat, p.login AS plogin, p.s IS NOT DISTINCT FROM n.s AS same, CASE WHEN p.id IS NULL OR p.s = n.s THEN n.parent END AS parent
+ FROM n LEFT JOIN n p ON p.id = n.parent AND p.project = n.project AND p.discussion = n.discussion),
+ok AS (SELECT project, discussion, s, count(*) AS turns FROM r GROUP BY ALL HAVING bool_and(parent IS NULL OR (there AND same AND pat <= "at")) AND bool_or(there AND same AND login IS DISTINCT FROM plogin)),
+w AS (SELECT r.project, r.discussion, r.s, r.id, [{{'at': r.at, 'id': r.id}}] AS path, r.at FROM r JOIN ok USING (project, discussion, s) WHERE parent IS NULL
+ UNION ALL SELECT r.project, r.discussion, r.s, r.id, list_append(w.path, {{'at': r.at, 'id': r.id}}), r.at FROM r JOIN w ON r.parent = w.id AND r.project = w.project AND r.discussion = w.discussion AND r.s = w.s)
+SELECT project, discussion, s::BIGINT AS session_no, count(*) AS turns, min("at") AS first_us, max("at") AS last_us, arg_min(id, path) AS first_id, arg_max(id, path) AS last_id
+FROM w JOIN ok o USING (project, discussion, s) GROUP BY project, discussion, s HAVING count(*) = any_value(o.turns)"""
+
 #: Sizes in words and marks, as the simplest public tokenizers count them: which sources are short doesn't hang on the tokenizer.
 _P7 = r"""WITH d AS (SELECT lower(trim(source)) AS k, sum(len(regexp_extract_all(coalesce(text, ''), '\w+|[^\w\s]'))) AS n FROM documents GROUP BY 1),
 t AS (SELECT source, weight / sum(weight) OVER () AS share, max_repeats, lower(trim(source)) AS k FROM mix_target)
@@ -134,13 +155,8 @@ SELECT source FROM t LEFT JOIN d USING (k) WHERE share * (SELECT sum(n) FROM d)
 
 ORACLE: dict[str, str] = {
     "p7_found": _P7,
-    "p2_found": rf"""WITH RECURSIVE c AS (SELECT * FROM (SELECT *, regexp_extract(url, '([0-9]+)$', 1)::BIGINT AS id FROM discussion_comment) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, mod_time DESC) = 1),
-d AS (SELECT project, number, lower(author.login) AS asker FROM discussion QUALIFY row_number() OVER (PARTITION BY project, number ORDER BY mod_time DESC) = 1),
-k AS (SELECT lower(login) AS login, CASE WHEN bool_or(kind = 'bot') THEN 'bot' WHEN bool_or(kind = 'maintainer') THEN 'maintainer' END AS kind FROM account WHERE login IS NOT NULL GROUP BY 1),
-m AS (SELECT d.project, d.number AS discussion, c.id, try_cast(nullif(regexp_extract(reply_to_url, '#discussioncomment-([0-9]+)$', 1), '') AS BIGINT) AS parent, epoch_us(try_cast(created_at AS TIMESTAMPTZ)) AS at,
- CASE WHEN lower(c.author.login) = d.asker THEN 'asker' ELSE coalesce(k.kind, 'participant') END AS role
- FROM c JOIN d ON lower(regexp_extract(discussion_url, '{_REF}', 3) || '/' || regexp_extract(discussion_url, '{_REF}', 4)) = lower(d.project) AND try_cast(regexp_extract(discussion_url, '{_REF}', 5) AS BIGINT) = d.number LEFT JOIN k ON k.login = lower(c.author.login)
- WHERE regexp_matches(body, '[^\s\pZ\x{{85}}]')),
+    "p2_sessions": _SESSIONS,
+    "p2_found": rf"""WITH RECURSIVE {_MESSAGES},
 s AS (SELECT m.project, m.discussion, count(*) AS n FROM m LEFT JOIN m p ON p.id = m.parent AND p.project = m.project AND p.discussion = m.discussion GROUP BY 1, 2
  HAVING bool_and(m.at IS NOT NULL AND (m.parent IS NULL OR coalesce(p.at <= m.at, false))) AND bool_or(m.role IN ('maintainer', 'participant'))),
 t AS (SELECT m.project, m.discussion, m.id, m.role, [{{'at': m.at, 'id': m.id}}] AS path FROM m JOIN s USING (project, discussion) WHERE m.parent IS NULL

@@ -33,8 +33,8 @@ def brute(rows):
 
 
 def run(spark, rows):
-    got = conv.conversations(spark.createDataFrame(rows, SCHEMA), ["ch"])
-    return sorted((r.ch, r.turn_no, r.comment_id, r.speaker_role) for r in got.collect())
+    got = conv.conversations(spark.createDataFrame(rows, SCHEMA).withColumn("login", F.lit("x")), ["ch"])
+    return sorted((r.ch, r.turn_no, r.id, r.role) for r in got.collect())
 
 
 def test_random_trees(spark):
@@ -118,6 +118,15 @@ def test_reciprocal_sessions_with_missing_authors(spark):
         ("no reply", 11, None, "a"), ("no reply", 12, None, None),
         ("parent elsewhere", 13, 1, "a"),
     ]
-    s = spark.createDataFrame([(ch, 1, i, p, i, login) for ch, i, p, login in rows], "ch string, session_no bigint, id bigint, parent bigint, at bigint, login string")
-    got = {r.ch: (r.turns, r.speakers) for r in conv.reciprocal_sessions(s, ["ch"]).collect()}
-    assert got == {"known": (2, 2), "null replies": (2, 2), "null is answered": (2, 2)}
+    s = spark.createDataFrame([(ch, i, p, i, login) for ch, i, p, login in rows], "ch string, id bigint, parent bigint, at bigint, login string").withColumn("role", F.lit("asker"))
+    got = conv.conversations(s, ["ch"], gap_us=1000, sound=conv.RECIPROCAL).collect()
+    assert {(r.ch, r.session_no) for r in got} == {("known", 1), ("null replies", 1), ("null is answered", 1)} and len(got) == 6
+
+
+def test_sessions_of_a_channel(spark):
+    rows = [("c", 1, None, 0, "a"), ("c", 2, 1, 50, "b"), ("c", 3, 1, 500, "c"), ("c", 4, 3, 560, "a"), ("c", 5, None, 2000, "a"), ("c", 6, None, None, "b")]
+    m = spark.createDataFrame(rows, "ch string, id bigint, parent bigint, at bigint, login string").withColumn("role", F.lit("participant"))
+    of = lambda **k: sorted((r.session_no, r.turn_no, r.id) for r in conv.conversations(m, ["ch"], gap_us=100, sound=conv.RECIPROCAL, **k).collect())
+    assert of() == [(1, 1, 1), (1, 2, 2)]  # a reply to another session breaks the second
+    assert of(cut_replies=True) == [(1, 1, 1), (1, 2, 2), (2, 1, 3), (2, 2, 4)]
+    assert conv.conversations(m, ["ch"]).collect() == []  # a message without a time
