@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector by shifted Hilbert curves.
 
 Unit vectors are turned and projected at random onto a few dimensions, once per curve; every curve orders them by
-their place on a shifted Hilbert curve. Runs of neighbouring keys are scored against each other as one matrix
-product, runs overlap so that no window is cut, and the lists of all curves merge into the best k. Vectors whose
-neighbours came up on few curves lie in crowds too large for such runs and are searched once more in far larger ones.
+their place on a shifted Hilbert curve. The curves are range-partitioned and sorted; a window slides over neighbouring
+keys and scores them against each other as matrix products, on vectors of one byte per number that travel once per
+curve. The lists of all curves merge and the best are scored again on the full vectors. Vectors whose neighbours came up
+on few curves lie in crowds too large for such windows and are searched once more in far larger ones.
 """
 
 from __future__ import annotations
@@ -53,6 +54,11 @@ def _unit(vecs) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _dot(a: str, b: str) -> Column:
+    """The dot product of two columns of equal length, in doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def usable(df: DataFrame, dim: int) -> DataFrame:
     """Rows whose ``vec`` has ``dim`` finite numbers, not all zero."""
     x = F.col("vec")
@@ -95,6 +101,72 @@ def _largest(s: np.ndarray, m: int, group: int = 64) -> np.ndarray:
     return np.take_along_axis(at, best, axis=1)
 
 
+#: How far a score on bytes may lie from the exact one; candidates within it of a threshold are scored again.
+ROUGH = 0.02
+
+
+def slide(vectors: DataFrame, dim: int, k: int, min_score: float, curves: int, dims: int, bits: int, block: int, overlap: int, seed: int, spread: float) -> DataFrame:
+    """(id, other, rough, curve): for every vector its best ``k`` within ``overlap`` places or more on each curve, by scores on bytes.
+
+    One row per vector and curve is shuffled, its numbers cut to bytes. A task reads its range of a curve in order and
+    holds a window of ``block + 2 * overlap`` rows, whatever the size of the range.
+    """
+    rng = np.random.default_rng(seed)
+    turns = [(np.linalg.qr(rng.standard_normal((dim, dims)))[0], rng.random(dims)) for _ in range(curves)]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            u = _unit(b["vec"])
+            scale = np.abs(u).max(axis=1) / 127
+            byte = [x.tobytes() for x in np.rint(u / scale[:, None]).astype(np.int8)]
+            for c, (turn, shift) in enumerate(turns):
+                at = (np.clip(u @ turn / spread, -0.5, 0.5) + 0.5 + shift) / 2
+                key = hilbert_key(np.minimum((at * 2**bits).astype(np.int64), 2**bits - 1), bits)
+                yield pd.DataFrame({"curve": np.int32(c), "key": key, "id": b["id"], "q": byte, "scale": scale.astype(np.float32)})
+
+    def score(ids: np.ndarray, v: np.ndarray, lo: int, hi: int, curve: int) -> pd.DataFrame:
+        """The best of rows ``lo`` to ``hi`` among all rows of the window."""
+        m = min(k, len(v) - 1)
+        s = v[lo:hi] @ v.T
+        s[np.arange(hi - lo), np.arange(lo, hi)] = -2
+        top = _largest(s, m)
+        rough = np.take_along_axis(s, top, axis=1).ravel()
+        a, b, keep = np.repeat(np.arange(lo, hi), m), top.ravel(), rough >= min_score - ROUGH
+        return pd.DataFrame({"id": ids[a[keep]], "other": ids[b[keep]], "rough": rough[keep].astype(np.float64), "curve": np.int32(curve)})
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, v, curve, done = np.zeros(0, object), np.zeros((0, dim), np.float32), -1, 0
+
+        def flush(end: int) -> Iterator[pd.DataFrame]:
+            """Score rows from ``done`` to ``end`` in blocks."""
+            nonlocal ids, v, done
+            while done < end:
+                to = min(done + block, end)
+                lo, hi = max(0, done - overlap), min(len(v), to + overlap)
+                if hi - lo > 1:
+                    yield score(ids[lo:hi], v[lo:hi], done - lo, to - lo, curve)
+                done = to
+            cut_at = max(0, done - overlap)
+            ids, v, done = ids[cut_at:], v[cut_at:], done - cut_at
+
+        for b in batches:
+            for c, of in b.groupby("curve", sort=True):
+                if c != curve:
+                    yield from flush(len(v))
+                    ids, v, curve, done = np.zeros(0, object), np.zeros((0, dim), np.float32), int(c), 0
+                new = np.frombuffer(b"".join(of["q"]), dtype=np.int8).reshape(-1, dim) * of["scale"].to_numpy()[:, None]
+                ids, v = np.concatenate([ids, of["id"].to_numpy()]), np.concatenate([v, new.astype(np.float32)])
+                # Whole blocks only, with all rows that follow within the overlap at hand.
+                yield from flush(done + max(0, len(v) - overlap - done) // block * block)
+        yield from flush(len(v))
+
+    rows = vectors.select("id", "vec").mapInPandas(keys, "curve int, key bigint, id string, q binary, scale float")
+    spread_out = rows.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    return spread_out.mapInPandas(windows, "id string, other string, rough double, curve int")
+
+
 def candidates(vectors: DataFrame, dim: int, k: int, min_score: float, curves: int, dims: int, bits: int, block: int, overlap: int, seed: int, spread: float, parts: int = 1) -> DataFrame:
     """(id, other, score, curve): for every vector its best ``k`` in each run of each curve, not below ``min_score``.
 
@@ -165,24 +237,32 @@ def nearest(
 
     The score is the dot product after scaling to unit length, ties go to the smaller id. Rows whose vector is
     null, of another length, zero or not finite are left out; other columns are ignored; an empty table gives an
-    empty one. Equal vectors are searched once: copies of each other score 1 and lead each other's lists, however
-    many there are. Approximate: a neighbour is found if it lies within ``overlap`` places on any of the
-    ``curves`` (all pairs of up to ``block`` rows are scored exactly); the tests measure recall. Vectors whose
+    empty one. Vectors whose directions agree to six digits are searched once: such copies score 1 and lead each
+    other's lists, however many there are and whatever their lengths. Approximate: a neighbour is found if it lies within
+    ``overlap`` places on any of the ``curves``; the tests measure recall. Vectors whose
     neighbours came up on fewer than ``sure`` curves lie in a crowd and are searched again: up to ``wide`` of them
     all against all, more in runs of ``wide`` on ``wide_curves`` finer curves, each run split over tasks.
     """
     vectors = cut(usable(df.select("id", "vec"), dim))
-    klass = vectors.groupBy("vec").agg(F.min("id").alias("klass"), F.count(F.lit(1)).alias("copies"))
+    norm = F.sqrt(_dot("vec", "vec"))
+    # Directions count as equal if they agree to six digits; copies that scaling rounded apart are found like other vectors.
+    vectors = vectors.withColumn("dir", F.transform("vec", lambda x: F.round(x / norm, 6)))
+    klass = vectors.groupBy("dir").agg(F.min("id").alias("klass"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("copies"))
     klass = cut(klass)
     reps = klass.select(F.col("klass").alias("id"), "vec")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
 
-    def merge(rows: DataFrame, *more: Column) -> DataFrame:
-        each = rows.groupBy("id", "other").agg(F.max("score").alias("score"), *more)
+    def merge(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("id", "other").agg(F.max("score").alias("score"))
         return each.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
-    found = candidates(reps, dim, k, min_score, curves, dims, bits, block, overlap, seed, spread)
-    found = cut(merge(found, F.countDistinct("curve").alias("hits")))
+    # A few more than asked for, so that scores on bytes don't decide who is among the best.
+    near = slide(reps, dim, k + 3, min_score, curves, dims, bits, block, overlap, seed, spread)
+    rough = near.groupBy("id", "other").agg(F.max("rough").alias("score"), F.count(F.lit(1)).alias("hits"))
+    rough = rough.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 3).drop("_r", "score")
+    exact = rough.join(reps.select("id", F.col("vec").alias("_a")), "id").join(reps.select(F.col("id").alias("other"), F.col("vec").alias("_b")), "other")
+    exact = exact.select("id", "other", "hits", (_dot("_a", "_b") / F.sqrt(_dot("_a", "_a")) / F.sqrt(_dot("_b", "_b"))).alias("score")).filter(F.col("score") >= min_score)
+    found = cut(exact.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r"))
     again = cut(crowded(reps, found, min(sure, curves)))
     n = again.count()
     if n > 1:
@@ -191,7 +271,7 @@ def nearest(
         second = candidates(again, dim, k, min_score, 1 if one else wide_curves, 4, 15, size, lap, seed + 1, spread, min(12, -(-size // 4096)))
         found = merge(found.select("id", "other", "score").unionByName(second.select("id", "other", "score")))
 
-    member = vectors.join(klass, "vec").select("klass", "id", "copies")
+    member = vectors.select("id", "dir").join(klass.drop("vec"), "dir").select("klass", "id", "copies")
     first = Window.partitionBy("klass").orderBy("id")
     heads = member.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).select("klass", F.col("id").alias("other"))
     near = found.select(F.col("id").alias("for"), F.col("other").alias("klass"), "score").join(heads, "klass").select(F.col("for").alias("klass"), "other", "score")

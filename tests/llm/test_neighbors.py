@@ -55,6 +55,33 @@ def test_copies_ties_and_unusable(spark):
     assert [got["b0"][k] for k in (1, 2, 3)] == ["b1", "a00", "a01"]
 
 
+def test_scaled_copies_are_one_direction(spark):
+    rng = np.random.default_rng(5)
+    base, other = rng.standard_normal(64), rng.standard_normal(64)
+    rows = [(f"c{i:03}", [float(x) for x in base * (1 + i / 7)]) for i in range(300)] + [("o", [float(x) for x in other]), ("z", [float(x) for x in base * 0.97 + other * 0.03])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "id string, vec array<float>"), 64, 3, 0.9, block=16, overlap=4).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.other, round(r.score, 6))
+    assert all(len(got[f"c{i:03}"]) == 3 and all(x[0] == "c" and y == 1.0 for x, y in got[f"c{i:03}"].values()) for i in range(300))
+    assert all(x[0] == "c" for x, _ in got["z"].values()) and "o" not in got
+
+
+def test_recall_at_100_000_with_a_dense_cluster(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    heads = unit(rng.standard_normal((500, 64)))
+    which = np.minimum(rng.zipf(1.3, 80_000) - 1, 499)  # the largest cluster holds a quarter
+    v = np.vstack([heads[which] + 0.06 * rng.standard_normal((80_000, 64)), unit(rng.standard_normal((20_000, 64)))]).astype(np.float32)
+    u, ask = unit(v), rng.choice(80_000, 600, replace=False)
+    s = u[ask] @ u.T
+    s[np.arange(600), ask] = -2
+    want = {(int(i), int(j)) for i, row in zip(ask, s) for j in np.argpartition(-row, 5)[:5] if row[j] >= 0.9}
+    rows = spark.createDataFrame(pd.DataFrame({"id": [str(i) for i in range(len(v))], "vec": list(v)}), "id string, vec array<float>")
+    only = spark.createDataFrame([(str(i),) for i in ask], "id string")
+    found = {(int(r.id), int(r.other)) for r in nearest(rows, 64, 5, 0.9).join(only, "id").collect()}
+    assert len(want) > 1000 and len(found & want) / len(want) >= 0.97
+
+
 def test_empty_and_single(spark):
     assert nearest(spark.createDataFrame([], "id string, vec array<float>"), 64).collect() == []
     assert nearest(spark.createDataFrame([("x", [1.0] * 64)], "id string, vec array<float>"), 64).collect() == []
