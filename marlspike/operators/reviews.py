@@ -6,15 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def account_stats(changes: DataFrame) -> DataFrame:
-    """AG-1: (email, commits, reviews): merged changes owned, and messages on changes of others.
+def account_stats(changes: DataFrame, bots: DataFrame | None = None, vote: str = "Code-Review", most: int = 2) -> DataFrame:
+    """AG-1: (email, commits, reviews, can_submit, can_vote): what each address did in ``changes``.
 
-    Contributions are counted per task before they are shuffled. Null emails don't count.
+    A merged change is a commit of its owner; where ``bots`` (``email``) own it, of the author of its first revision. A
+    message by anybody else is a review. Who submitted a change may submit, who gave ``most`` for ``vote`` may vote. Contributions
+    are merged per task before they are shuffled. Null addresses don't count.
     """
-    commits = changes.filter("status = 'MERGED'").select(F.col("owner_email").alias("email"), F.lit(1).alias("c"), F.lit(0).alias("r"))
-    said = changes.select("owner_email", F.explode("messages").alias("m")).select("owner_email", F.coalesce("m.real_author", "m.author").alias("email"))
-    reviews = said.filter(~F.col("email").eqNullSafe(F.col("owner_email"))).select("email", F.lit(0).alias("c"), F.lit(1).alias("r"))
-    return commits.unionByName(reviews).filter("email IS NOT NULL").groupBy("email").agg(F.sum("c").alias("commits"), F.sum("r").alias("reviews"))
+    c = changes.select("status", "owner_email", "submitter_email", "messages", "revisions", F.col("labels")[vote].alias("votes"))
+    if bots is not None:
+        known = bots.filter("email IS NOT NULL").select(F.lower("email").alias("_b"), F.lit(True).alias("_bot")).distinct()
+        first = F.get(F.filter("revisions", lambda r: r["number"] == 1), F.lit(0))["commit_author"]
+        c = c.join(known, F.lower("owner_email") == F.col("_b"), "left").withColumn("owner_email", F.when(F.col("_bot"), first).otherwise(F.col("owner_email")))
+    none, one = F.lit(0), F.lit(1)
+
+    def did(email: Column, commits: Column, reviews: Column, submit: bool = False, voted: bool = False) -> Column:
+        return F.struct(email.alias("email"), commits.alias("c"), reviews.alias("r"), F.lit(submit).alias("s"), F.lit(voted).alias("v"))
+
+    kind = "array<struct<email:string,c:int,r:int,s:boolean,v:boolean>>"
+    empty = F.array().cast(kind)
+    said = F.transform("messages", lambda m: F.coalesce(m["real_author"], m["author"]))
+    parts = [
+        F.array(did(F.when(F.col("status") == "MERGED", F.col("owner_email")), one, none), did(F.col("submitter_email"), none, none, submit=True)),
+        F.transform(F.filter(said, lambda x: ~x.eqNullSafe(F.col("owner_email"))), lambda x: did(x, none, one)),
+        F.transform(F.filter("votes", lambda x: x["value"] >= most), lambda x: did(x["email"], none, none, voted=True)),
+    ]
+    each = c.select(F.inline(F.concat(*(F.coalesce(p.cast(kind), empty) for p in parts)))).filter("email IS NOT NULL")
+    sums = [F.sum("c").alias("commits"), F.sum("r").alias("reviews"), F.bool_or("s").alias("can_submit"), F.bool_or("v").alias("can_vote")]
+    return each.groupBy("email").agg(*sums)
+
+
+def authority() -> Column:
+    """AG-2: what ``account_stats`` says of an address: maintainer, reviewer, contributor or unknown."""
+    rights = F.col("can_submit") | F.col("can_vote")
+    return F.when(rights, "maintainer").when(F.col("reviews") > 0, "reviewer").when(F.col("commits") > 0, "contributor").otherwise("unknown")
 
 
 def reviewers(changes: DataFrame) -> Column:

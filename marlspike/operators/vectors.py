@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,6 +72,22 @@ def search(df: DataFrame, query: list[float], limit: int = 20, threshold: float
     return hits
 
 
+def is_url(text: Column) -> Column:
+    """VS-15: an absolute address with a scheme, no white space, and something after the colon."""
+    return F.coalesce(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:/(/[^\s?#]|[^\s/])\S*$"), F.lit(False))
+
+
+def resolve_queries(asked: DataFrame, store: DataFrame, embed: Callable[[Column], Column], id_col: str = "id", vec: str = "vec", longest_id: int = 700) -> DataFrame:
+    """VS-8, VS-9: (query, q, vec) of questions (``query``, ``q``): the stored vector where the trimmed text is an id, else its embedding.
+
+    Blank and null questions vanish; texts of ``longest_id`` characters or more are never ids. Then ``batch_top_k`` searches.
+    """
+    trimmed = asked.select("query", F.trim("q").alias("q")).filter("q <> ''")
+    ids = store.select(F.col(id_col).cast("string").alias("_id"), F.col(vec).alias("_v"))
+    found = trimmed.join(ids, (F.col("q") == F.col("_id")) & (F.length("q") < longest_id), "left")
+    return found.select("query", "q", F.coalesce("_v", embed(F.col("q"))).alias("vec"))
+
+
 def drop_first_self(hits: DataFrame, self_id, keep: int, id_col: str = "id") -> DataFrame:
     """VS-12: hits without the document itself if it ranks first, cut to ``keep``. ``hits`` are a bounded list."""
     rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc(id_col)))

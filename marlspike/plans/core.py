@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from marlspike.filterlang import compile_filter, filter_rows
 from marlspike.functions import text as tx
 from marlspike.operators import docs as dp
-from marlspike.operators import feed, reviews, vectors
+from marlspike.operators import feed, joins, reviews, vectors
 from marlspike.operators.ordered import running_sum
 from marlspike.session import latest, load, small
 
@@ -89,13 +90,12 @@ def vector_snapshot_diff(spark, d):
     return feed.snapshot_diff(a, b, "vec_id", ["embedding"])
 
 
-@query("""SELECT (SELECT count(*) FROM documents WHERE url IS NULL OR NOT starts_with(url, 'https://forge.example/quern/')) AS docs_left,
-(SELECT count(*) FROM doc_vector WHERE id IS NULL OR NOT starts_with(id, 'https://forge.example/quern/')) AS vectors_left""")
+@query("""WITH gone AS (SELECT DISTINCT url FROM documents WHERE starts_with(url, 'https://forge.example/quern/'))
+SELECT 'document' AS what, doc_id::VARCHAR AS id FROM documents WHERE url IS NULL OR NOT starts_with(url, 'https://forge.example/quern/')
+UNION ALL SELECT 'vector', id FROM doc_vector v WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.url = v.id)""")
 def cascade_delete(spark, d):
-    gone = lambda c: F.coalesce(F.startswith(F.col(c), F.lit("https://forge.example/quern/")), F.lit(False))
-    a = load(spark, d, "documents").filter(~gone("url")).agg(F.count(F.lit(1)).alias("docs_left"))
-    b = load(spark, d, "doc_vector").filter(~gone("id")).agg(F.count(F.lit(1)).alias("vectors_left"))
-    return a.crossJoin(b)
+    docs, vecs = joins.cascade_delete(load(spark, d, "documents").select("doc_id", "url"), load(spark, d, "doc_vector").select("id"), "url", "id", "https://forge.example/quern/")
+    return docs.select(F.lit("document").alias("what"), F.col("doc_id").cast("string").alias("id")).unionByName(vecs.select(F.lit("vector").alias("what"), "id"))
 
 
 # ---- feeds (TM)
@@ -147,10 +147,12 @@ def walltime_to_feedtime(spark, d):
     return feed.feed_time_after(e.select("wall", "event_id"), asked, "wall", "event_id", "wall").select(F.col("q").alias("event_id"), "feed_time")
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) r FROM events) WHERE r = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL)")
+@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) r FROM events) e
+WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-03' AND s.user_id = e.user_id AND s.event_type = e.event_type)""")
 def log_insert_absent(spark, d):
-    e = load(spark, d, "events")
-    return feed.insert_absent(e.filter("event_type = 'signup'"), e.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    e = load(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
+    stored = e.filter(F.col("ts") < F.lit(dt.datetime(2024, 1, 3)))
+    return feed.insert_absent(stored, e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
 @query("""SELECT name, CASE WHEN h.k IS NULL THEN 'create' WHEN coalesce(h.description, '') = '' AND coalesce(w.description, '') <> '' THEN 'describe' WHEN coalesce(h.description, '') <> coalesce(w.description, '') THEN 'warn' ELSE 'keep' END AS action
@@ -255,9 +257,13 @@ def vec_codec_roundtrip(spark, d):
     return e.select("vec_id", (vectors.decode(vectors.encode(F.col("embedding"))) == F.col("embedding")).alias("same"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, 123 AS dims, coalesce(list_sum(list_transform(range(0, least(length(h) // 2, 122)), lambda i: (i + 1) * ('0x' || h[2 * i + 1 : 2 * i + 2])::INT)), 0)::BIGINT AS moment FROM b""")
 def quote_embed(spark, d):
-    return load(spark, d, "documents").select("doc_id", vectors.quote_embed(F.col("text")).alias("vec"))
+    """The size of each text's embedding and the first moment of the bytes it quotes, which hangs on every number and its place."""
+    v = load(spark, d, "documents").select("doc_id", vectors.quote_embed(F.col("text")).alias("vec"))
+    byte = F.transform("vec", lambda x, i: F.when(x > 0, F.round(x / -F.array_min("vec") * 256) * (i + 1)).otherwise(0.0).cast("bigint"))
+    return v.select("doc_id", F.size("vec").alias("dims"), F.aggregate(byte, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("moment"))
 
 
 # ---- addresses and texts (TX)
@@ -313,16 +319,18 @@ def rule_violations(spark, d):
     return load(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", hits.alias("broken"))
 
 
-@query("SELECT project, count(*) AS docs, sum(len(regexp_extract_all(text, '[^\\s]+'))) AS words FROM documents WHERE text IS NOT NULL GROUP BY project")
+@query(r"SELECT project, count(*) AS docs, sum(len(regexp_extract_all(text, '[#-''*/;?@A-Z\[\]\^-}\\\x{a1}-\x{ffff}]+|[^\s]')))::BIGINT AS words FROM documents WHERE text IS NOT NULL GROUP BY project")
 def word_counts(spark, d):
     t = load(spark, d, "documents").filter("text IS NOT NULL")
-    return t.groupBy("project").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[^\s]+"), 0))).alias("words"))
+    return t.groupBy("project").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(tx.split_words(F.col("text")))).alias("words"))
 
 
-@query()
+@query("SELECT doc_id, regexp_replace(url, '[?#].*$', '') AS link FROM documents WHERE regexp_matches(url, '^https?://')")
 def page_links(spark, d):
-    t = load(spark, d, "documents").filter(F.contains("text", F.lit("<")))
-    return t.select("doc_id", F.explode(tx.links(F.col("text"), F.col("url"))).alias("link"))
+    """The links of a page that names each document's address twice."""
+    t = load(spark, d, "documents").filter(F.col("url").rlike("^https?://"))
+    page = F.concat(F.lit('<p>See <a href="'), "url", F.lit('">it</a> and <a href="'), "url", F.lit('">again</a>, not <b>that</b>.</p>'))
+    return t.select("doc_id", F.explode(tx.links(page, F.lit("https://forge.example/"))).alias("link")).select("doc_id", tx.clean_url(F.col("link")).alias("link")).distinct()
 
 
 @query()
@@ -347,20 +355,27 @@ def _changes(spark, d, *cols: str) -> DataFrame:
     return latest(load(spark, d, "change_info"), ["project", "number"], ["mod_time"], list(cols))
 
 
-_STATS = f"""SELECT email, sum(c)::BIGINT AS commits, sum(r)::BIGINT AS reviews FROM (SELECT owner_email AS email, 1 AS c, 0 AS r FROM {_CH} WHERE status = 'MERGED'
-UNION ALL SELECT coalesce(m.real_author, m.author), 0, 1 FROM (SELECT owner_email, unnest(messages) AS m FROM {_CH}) WHERE coalesce(m.real_author, m.author) IS DISTINCT FROM owner_email) WHERE email IS NOT NULL GROUP BY email"""
+_STATS = f"""WITH ch AS (SELECT c.*, CASE WHEN b.e IS NOT NULL THEN list_filter(revisions, lambda v: v.number = 1)[1].commit_author ELSE owner_email END AS owner FROM {_CH} c LEFT JOIN (SELECT DISTINCT lower(email) e FROM account WHERE kind = 'bot') b ON lower(owner_email) = b.e),
+did AS (SELECT owner AS email, 1 AS c, 0 AS r, false AS s, false AS v FROM ch WHERE status = 'MERGED' UNION ALL SELECT submitter_email, 0, 0, true, false FROM ch
+UNION ALL SELECT coalesce(m.real_author, m.author), 0, 1, false, false FROM (SELECT owner, unnest(messages) AS m FROM ch) WHERE coalesce(m.real_author, m.author) IS DISTINCT FROM owner
+UNION ALL SELECT x.email, 0, 0, false, true FROM (SELECT unnest(labels['Code-Review']) AS x FROM ch) WHERE x.value >= 2)
+SELECT email, sum(c)::BIGINT AS commits, sum(r)::BIGINT AS reviews, bool_or(s) AS can_submit, bool_or(v) AS can_vote FROM did WHERE email IS NOT NULL GROUP BY email"""
+_LEVEL = "CASE WHEN can_submit OR can_vote THEN 'maintainer' WHEN reviews > 0 THEN 'reviewer' WHEN commits > 0 THEN 'contributor' ELSE 'unknown' END"
+
+
+def _stats(spark, d) -> DataFrame:
+    changes = _changes(spark, d, "status", "owner_email", "submitter_email", "messages", "revisions", "labels")
+    return reviews.account_stats(changes, small(load(spark, d, "account").filter("kind = 'bot'").select("email"), 10_000))
 
 
 @query(_STATS)
 def account_stats(spark, d):
-    return reviews.account_stats(_changes(spark, d, "status", "owner_email", "messages"))
+    return _stats(spark, d)
 
 
-@query(f"SELECT level, count(*) AS accounts FROM (SELECT CASE WHEN commits > 10 THEN 'major' WHEN reviews > 0 THEN 'reviewer' ELSE 'contributor' END AS level FROM ({_STATS})) GROUP BY level")
+@query(f"SELECT level, count(*) AS accounts FROM (SELECT {_LEVEL} AS level FROM ({_STATS})) GROUP BY level")
 def account_levels(spark, d):
-    s = reviews.account_stats(_changes(spark, d, "status", "owner_email", "messages"))
-    level = reviews.categorize([("major", F.col("commits") > 10), ("reviewer", F.col("reviews") > 0)], "contributor")
-    return s.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("accounts"))
+    return _stats(spark, d).groupBy(reviews.authority().alias("level")).agg(F.count(F.lit(1)).alias("accounts"))
 
 
 @query(f"SELECT project, number, array_to_string(list_sort(list_distinct(list_filter(list_transform(messages, lambda m: coalesce(m.real_author, m.author)), lambda x: x IS NOT NULL AND x IS DISTINCT FROM owner_email))), ',') AS reviewers FROM {_CH} WHERE messages IS NOT NULL")
@@ -437,7 +452,7 @@ FILTERS = [
     ("prefix", "customer", "c_mktsegment = auto*", "starts_with(lower(c_mktsegment), 'auto')"),
     ("suffix", "customer", 'c_name = "*1"', "ends_with(lower(c_name), '1')"),
     ("neq_missing", "documents", "lang != en", "NOT coalesce(lower(lang) = 'en', false)"),
-    ("has_word", "documents", "title : docs", r"regexp_matches(lower(title), '(^|[^a-z0-9\x80-\x{10ffff}])docs($|[^a-z0-9\x80-\x{10ffff}])')"),
+    ("has_word", "documents", "title : text", r"regexp_matches(lower(title), '(^|[^a-z0-9\x80-\x{10ffff}])text($|[^a-z0-9\x80-\x{10ffff}])')"),
     ("regex", "part", 'p_name =~ "^[a-m].*e"', "regexp_matches(p_name, '^[a-m].*e')"),
     ("not_regex", "documents", 'source !~ "^i"', "source IS NOT NULL AND NOT regexp_matches(source, '^i')"),
     ("or_binds_tighter", "orders", "o_orderstatus = F o_custkey < 500 OR o_custkey > 900", "lower(o_orderstatus) = 'f' AND (o_custkey < 500 OR o_custkey > 900)"),
@@ -455,6 +470,11 @@ FILTERS = [
     ("map_has_key", "change_info", "labels:Code-Review", "coalesce(map_contains(labels, 'Code-Review'), false)"),
     ("bool_member", "change_info", "work_in_progress = true", "coalesce(work_in_progress, false)"),
     ("camel_case", "change_info", "totalCommentCount > 3", "coalesce(total_comment_count > 3, false)"),
+    ("text_order", "customer", "c_name >= Customer#000000700 c_mktsegment < FURNITURE", "c_name >= 'Customer#000000700' AND c_mktsegment < 'FURNITURE'"),
+    ("struct_has", "issue_event", "label : bug", "coalesce(lower(label.name) = 'bug' OR lower(label.description) = 'bug' OR lower(label.color) = 'bug' OR regexp_matches(lower(concat_ws(chr(10), label.name, label.description, label.color)), '(^|[^a-z0-9\\x80-\\x{10ffff}])bug($|[^a-z0-9\\x80-\\x{10ffff}])'), false)"),
+    ("dotted_value", "project_site", "instance = review-quern.forge.example", "lower(instance) = 'review-quern.forge.example'"),
+    ("struct_presence", "issue_event", "rename.to:*", 'coalesce("rename"."to", \'\') <> \'\''),
+    ("deep_array_and_not", "change_info", "messages.author:* NOT hashtags = security", "len(list_filter(coalesce(messages, []), lambda x: coalesce(x.author, '') <> '')) > 0 AND NOT len(list_filter(coalesce(hashtags, []), lambda x: lower(x) = 'security')) > 0"),
     ("global_word", "project_site", "quern", "contains(lower(project), 'quern') OR contains(lower(instance), 'quern') OR contains(lower(time_zone), 'quern')"),
 ]
 _KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "documents": ["doc_id"], "part": ["p_partkey"], "lineitem": ["l_orderkey", "l_linenumber"], "issue_event": ["project", "id", "mod_time"], "change_info": ["project", "number", "mod_time"], "project_site": ["project"]}
