@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions.timestamps import _MONTHS, ABBREVIATIONS, CASCADE, with_instant
-from marlspike.operators.cdc import issue_state
+from marlspike.operators.cdc import apply_changes, issue_state
 from marlspike.operators.shred import places, shred, table
 from marlspike.session import latest, load, small
 
@@ -42,6 +42,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issue_state(zoned(events, spark, sf_dir, "created_at"))
 
 
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per user out of a feed: errors delete it, sign-ups replace it, purchases set its value and views its props."""
+    e = load(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    return apply_changes(e, ["user_id"], ["ts", "event_id"], ["value", "props"], kind == "error", kind == "signup", {"value": kind == "purchase", "props": kind == "view"})
+
+
 #: path -> the member of an element that is its leaf.
 P4_LEAVES = {"labels": "name", "assignees": "login", "reactions.groups": "content", "reactions.groups.users": "login"}
 P4_SET, P4_TAGS = "attention_set", "attention_set.account.tags"
@@ -129,6 +136,12 @@ UNION ALL SELECT project, issue, u, id, 'title', '', "rename"."to" FROM inst WHE
 SELECT project, issue, item_kind, val AS item FROM (SELECT *, row_number() OVER (PARTITION BY project, issue, item_kind, field ORDER BY u DESC, id DESC) k FROM cells WHERE u IS NOT NULL) WHERE k = 1 AND val IS NOT NULL AND (project, issue) NOT IN (SELECT (project, issue) FROM inst WHERE event = 'deleted')"""
 
 
+P5_TABLE_SQL = """WITH s AS (SELECT *, {'ts': ts, 'id': event_id} AS s FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL),
+b AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN s END) AS d, max(CASE WHEN event_type = 'signup' THEN s END) AS r FROM s GROUP BY 1)
+SELECT s.user_id, (arg_max({'v': value}, s) FILTER (WHERE event_type IN ('purchase', 'signup'))).v AS value, (arg_max({'v': props}, s) FILTER (WHERE event_type IN ('view', 'signup'))).v AS props
+FROM s JOIN b ON s.user_id IS NOT DISTINCT FROM b.user_id WHERE event_type <> 'error' AND (d IS NULL OR s > d) AND (r IS NULL OR s >= r) GROUP BY s.user_id"""
+
+
 def _list(x: str) -> str:
     """SQL: the elements of a JSON value, whatever the list is wrapped in."""
     flat = lambda y, rest: f"CASE json_type({y}) WHEN 'ARRAY' THEN json_extract({y}, '$[*]') WHEN 'NULL' THEN [] {rest} END"
