@@ -60,8 +60,8 @@ _P4_KEYS = ["src", "project", "rec_id"]
 def _tracker_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled nodes of the newest version of every tracker event."""
     te = latest(load(spark, sf_dir, "tracker_event"), ["project", "issue", "api", "id"], ["mod_time"], ["json"])
-    te = te.select(F.concat(F.lit("tracker_event"), "api").alias("src"), "project", F.col("id").alias("rec_id"), "json")
-    return shred(te, "json", _P4_KEYS, lists=list(P4_LEAVES), keep=list(P4_LEAVES))
+    te = te.select(F.concat(F.lit("tracker_event"), "api").alias("src"), "project", F.col("id").alias("rec_id"), "issue", "json")
+    return shred(te, "json", [*_P4_KEYS, "issue"], lists=list(P4_LEAVES), keep=list(P4_LEAVES))
 
 
 def _change_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The related tables of tracker events and changes, one above the other: each row with its id and its parent's table and id."""
-    a, b = _tracker_nodes(spark, sf_dir), _change_nodes(spark, sf_dir)
-    maps = [P4_SET]
-    parts = [table(a, p, {}, _P4_KEYS, list(P4_LEAVES)).withColumn("path", F.lit(p)) for p in P4_LEAVES]
-    parts += [table(b, p, {}, _P4_KEYS, [P4_SET, P4_TAGS], maps).withColumn("path", F.lit(p)) for p in (P4_SET, P4_TAGS)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    """The related tables of tracker events and changes: each row with its place, and the place of the row its parent link leads to."""
+
+    def linked(nodes: DataFrame, keys: list[str], tables: list[str], maps: list[str]) -> DataFrame:
+        rows = functools.reduce(DataFrame.unionByName, (table(nodes, p, {}, keys, tables, maps).withColumn("path", F.lit(p)) for p in tables))
+        above = rows.select(*keys, F.col("path").alias("parent_table"), F.col("node_id").alias("parent_id"), F.col("pos").alias("parent_pos"))
+        joined = rows.join(above, [*keys, "parent_table", "parent_id"], "left")
+        return joined.select(*_P4_KEYS, "path", "pos", "parent_table", F.coalesce("parent_pos", F.lit("")).alias("parent_pos"))
+
+    a = linked(_tracker_nodes(spark, sf_dir), [*_P4_KEYS, "issue"], list(P4_LEAVES), [])
+    return a.unionByName(linked(_change_nodes(spark, sf_dir), _P4_KEYS, [P4_SET, P4_TAGS], [P4_SET]))
 
 
 # ---- SQL counterparts, for DuckDB
@@ -172,3 +176,10 @@ SELECT src, project, rec_id, path, k::VARCHAR AS pos, CASE path WHEN 'labels' TH
 UNION ALL SELECT src, project, rec_id, 'reactions.groups.users', k || '.' || k2, {_leaf("e", "login")} AS lf FROM ue WHERE lf IS NOT NULL
 UNION ALL SELECT 'change_info', project, number, 'attention_set', x.key::VARCHAR, coalesce(x.value.account.email, '') FROM ce WHERE x.value IS NOT NULL
 UNION ALL SELECT 'change_info', project, number, 'attention_set.account.tags', key || '.' || k, tag FROM tg WHERE tag IS NOT NULL"""
+
+_P4_TREES = P4_SQL.split("\nSELECT src, project, rec_id, path, k::VARCHAR")[0]
+P4_TABLES_SQL = f"""{_P4_TREES}
+SELECT src, project, rec_id, path, k::VARCHAR AS pos, '' AS parent_table, '' AS parent_pos FROM el WHERE e IS NOT NULL
+UNION ALL SELECT src, project, rec_id, 'reactions.groups.users', k || '.' || k2, 'reactions.groups', k::VARCHAR FROM ue WHERE e IS NOT NULL
+UNION ALL SELECT 'change_info', project, number, 'attention_set', x.key::VARCHAR, '', '' FROM ce WHERE x.value IS NOT NULL
+UNION ALL SELECT 'change_info', project, number, 'attention_set.account.tags', key || '.' || k, 'attention_set', key::VARCHAR FROM tg WHERE tag IS NOT NULL"""
