@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,23 @@ def usable(df: DataFrame, dim: int) -> DataFrame:
     return df.filter((F.size(x) == dim) & finite & F.exists(x, lambda e: e != 0))
 
 
+def directed(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (``id``, ``vec``) with ``norm`` and ``dir``, a 128-bit hash of the direction to six digits.
+
+    Copies that scaling rounded apart get different hashes and are found like other vectors.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                v = np.stack([np.asarray(x, dtype=np.float64) for x in b["vec"]])
+                norm = np.linalg.norm(v, axis=1)
+                digits = np.rint(v / norm[:, None] * 1e6).astype(np.int32)
+                yield b.assign(norm=norm, dir=[xxhash.xxh3_128_digest(x.tobytes()) for x in digits])
+
+    return vectors.mapInPandas(run, "id string, vec array<float>, norm double, dir binary")
+
+
 def curve_keys(vectors: DataFrame, dim: int, curves: int, dims: int, bits: int, seed: int, spread: float) -> DataFrame:
     """(curve, key, id) for every vector and curve. Each curve has its own random turn and shift."""
     rng = np.random.default_rng(seed)
@@ -243,13 +261,11 @@ def nearest(
     neighbours came up on fewer than ``sure`` curves lie in a crowd and are searched again: up to ``wide`` of them
     all against all, more in runs of ``wide`` on ``wide_curves`` finer curves, each run split over tasks.
     """
-    vectors = cut(usable(df.select("id", "vec"), dim))
-    norm = F.sqrt(_dot("vec", "vec"))
-    # Directions count as equal if they agree to six digits; copies that scaling rounded apart are found like other vectors.
-    vectors = vectors.withColumn("dir", F.transform("vec", lambda x: F.round(x / norm, 6)))
-    klass = vectors.groupBy("dir").agg(F.min("id").alias("klass"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("copies"))
+    vectors = cut(directed(usable(df.select("id", F.col("vec").cast("array<float>").alias("vec")), dim)))
+    first = F.min_by(F.struct("vec", "norm"), "id")
+    klass = vectors.groupBy("dir").agg(F.min("id").alias("klass"), first.alias("v"), F.count(F.lit(1)).alias("copies"))
     klass = cut(klass)
-    reps = klass.select(F.col("klass").alias("id"), "vec")
+    reps = klass.select(F.col("klass").alias("id"), "v.vec", "v.norm")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
 
     def merge(rows: DataFrame) -> DataFrame:
@@ -260,8 +276,9 @@ def nearest(
     near = slide(reps, dim, k + 3, min_score, curves, dims, bits, block, overlap, seed, spread)
     rough = near.groupBy("id", "other").agg(F.max("rough").alias("score"), F.count(F.lit(1)).alias("hits"))
     rough = rough.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 3).drop("_r", "score")
-    exact = rough.join(reps.select("id", F.col("vec").alias("_a")), "id").join(reps.select(F.col("id").alias("other"), F.col("vec").alias("_b")), "other")
-    exact = exact.select("id", "other", "hits", (_dot("_a", "_b") / F.sqrt(_dot("_a", "_a")) / F.sqrt(_dot("_b", "_b"))).alias("score")).filter(F.col("score") >= min_score)
+    exact = rough.join(reps.select("id", F.col("vec").alias("_a"), F.col("norm").alias("_na")), "id")
+    exact = exact.join(reps.select(F.col("id").alias("other"), F.col("vec").alias("_b"), F.col("norm").alias("_nb")), "other")
+    exact = exact.select("id", "other", "hits", (_dot("_a", "_b") / F.col("_na") / F.col("_nb")).alias("score")).filter(F.col("score") >= min_score)
     found = cut(exact.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r"))
     again = cut(crowded(reps, found, min(sure, curves)))
     n = again.count()
@@ -271,7 +288,7 @@ def nearest(
         second = candidates(again, dim, k, min_score, 1 if one else wide_curves, 4, 15, size, lap, seed + 1, spread, min(12, -(-size // 4096)))
         found = merge(found.select("id", "other", "score").unionByName(second.select("id", "other", "score")))
 
-    member = vectors.select("id", "dir").join(klass.drop("vec"), "dir").select("klass", "id", "copies")
+    member = vectors.select("id", "dir").join(klass.drop("v"), "dir").select("klass", "id", "copies")
     first = Window.partitionBy("klass").orderBy("id")
     heads = member.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1).select("klass", F.col("id").alias("other"))
     near = found.select(F.col("id").alias("for"), F.col("other").alias("klass"), "score").join(heads, "klass").select(F.col("for").alias("klass"), "other", "score")
