@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.session import cut
+
 
 def apply_cells(cells: DataFrame, entity: list[str], field: list[str], seq: list[str], value: str = "value") -> DataFrame:
     """The last value of each field of each entity.
@@ -42,7 +44,9 @@ def apply_changes(
     """
     sets = sets or {}
     order = F.struct(*(F.col(c) for c in seq))
-    ready = changes.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in seq)).withColumns({"_del": F.coalesce(is_delete, F.lit(False)), "_rep": F.coalesce(is_replace, F.lit(False)) if is_replace is not None else F.lit(False), "_seq": order})
+    flag = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    ready = changes.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in seq))
+    ready = ready.withColumns({"_del": flag(is_delete), "_rep": flag(is_replace), "_seq": order})
     bound = ready.groupBy(*keys).agg(F.max(F.when(F.col("_del"), F.col("_seq"))).alias("_d"), F.max(F.when(F.col("_rep"), F.col("_seq"))).alias("_r"))
     on = ready.alias("c").join(bound.alias("b"), [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     alive = ~F.col("c._del") & (F.col("b._d").isNull() | ((F.col("c._seq") > F.col("b._d")) & ~F.lit(delete_is_final))) & (F.col("b._r").isNull() | (F.col("c._seq") >= F.col("b._r")))
@@ -84,9 +88,9 @@ def issue_state(events: DataFrame) -> DataFrame:
         .when((F.col("kind") == "renamed") & F.col("rename.to").isNotNull(), one("title", F.col("rename.to")))
     )
     # A deletion holds whenever it comes, so it has one place in time and is a cell of its own.
-    rows = e.select("project", "issue", F.when(F.col("kind") == "deleted", 0).otherwise(F.col("id")).alias("id"), F.when(F.col("kind") == "deleted", 0).otherwise(F.col("instant_us")).alias("instant_us"), F.inline(cells))
-    last = apply_cells(rows, ["project", "issue"], ["item_kind", "field"], ["instant_us", "id"])
-    # Asked of the outcome, not of the key, so that both sides read the same shuffle.
-    deletion = F.concat("item_kind", "value") == "deleteddeleted"
-    gone = last.filter(deletion).select("project", "issue")
-    return last.filter(~deletion).join(gone, ["project", "issue"], "left_anti").select("project", "issue", "item_kind", F.col("value").alias("item"))
+    once = lambda c: F.when(F.col("kind") == "deleted", 0).otherwise(F.col(c)).alias(c)
+    rows = e.select("project", "issue", once("id"), once("instant_us"), F.inline(cells))
+    # Read twice below; only the state is written, which is far smaller than the feed.
+    last = cut(apply_cells(rows, ["project", "issue"], ["item_kind", "field"], ["instant_us", "id"]))
+    gone = last.filter("item_kind = 'deleted'").select("project", "issue")
+    return last.filter("item_kind <> 'deleted'").join(gone, ["project", "issue"], "left_anti").select("project", "issue", "item_kind", F.col("value").alias("item"))
