@@ -12,7 +12,15 @@ from marlspike.functions.text import clean_url, links, url_allowed
 from marlspike.session import cut
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: list[tuple[str, bool]], known: DataFrame | None = None, now: int = 0, recrawl: int = 86_400_000_000, max_rounds: int | None = None) -> DataFrame:
+def crawl(
+    seeds: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    rules: list[tuple[str, bool]],
+    known: DataFrame | None = None,
+    now: int = 0,
+    recrawl: int = 86_400_000_000,
+    max_rounds: int | None = None,
+) -> DataFrame:
     """All pages reached from ``seeds`` (``url``) over allowed links: (url, from_url, round, html).
 
     ``fetch`` maps (url, from_url) to the same with ``html``, null where a page can't be had. Each address is visited
@@ -23,7 +31,8 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: list
     fresh = None if known is None else known.filter(F.col("last_crawl") > now - recrawl).select("url")
 
     def due(found: DataFrame, seen: DataFrame | None) -> DataFrame:
-        new = url_allowed(found.filter("url IS NOT NULL").withColumn("url", clean_url(F.col("url"))), rules).filter("allowed").groupBy("url").agg(F.min("from_url").alias("from_url"))
+        new = url_allowed(found.filter("url IS NOT NULL").withColumn("url", clean_url(F.col("url"))), rules).filter("allowed")
+        new = new.groupBy("url").agg(F.min("from_url").alias("from_url"))
         for old in (fresh, seen):
             new = new if old is None else new.join(old.select("url"), "url", "left_anti")
         return new
@@ -39,7 +48,8 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], rules: list
             raise ValueError(f"pages are left after {max_rounds} rounds")
         rounds.append(pages)
         seen = pages if seen is None else seen.unionByName(pages)
-        todo = due(pages.select(F.explode(links(F.col("html"), F.col("url"))).alias("_l"), F.col("url").alias("from_url")).select(F.col("_l").alias("url"), "from_url"), seen)
+        found = pages.select(F.explode(links(F.col("html"), F.col("url"))).alias("_l"), F.col("url").alias("from_url"))
+        todo = due(found.select(F.col("_l").alias("url"), "from_url"), seen)
     return seen if seen is not None else seeds.sparkSession.createDataFrame([], "url string, from_url string, round int, html string")
 
 
