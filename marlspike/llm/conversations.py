@@ -92,8 +92,10 @@ def reply_paths(messages: DataFrame, channel: list[str]) -> DataFrame:
             break
         up = rows.select(*channel, F.col("id").alias("_to"), F.col("_to").alias("_next"), F.col("path").alias("_up"), F.col("_ring").alias("_upring"))
         todo = rows.filter("_to IS NOT NULL").join(up, [*channel, "_to"], "left")
-        ring = F.coalesce("_upring", F.lit(False)) | F.exists(F.coalesce("_up", F.array().cast("array<struct<at:bigint,id:bigint>>")), lambda e: e["id"] == F.col("id"))
-        done = todo.select(*channel, "id", F.when(~ring, F.col("_next")).alias("_to"), F.when(ring, F.col("path")).otherwise(F.concat(F.coalesce("_up", F.array().cast("array<struct<at:bigint,id:bigint>>")), "path")).alias("path"), ring.alias("_ring"))
+        above = F.coalesce("_up", F.array().cast("array<struct<at:bigint,id:bigint>>"))
+        ring = F.coalesce("_upring", F.lit(False)) | F.exists(above, lambda e: e["id"] == F.col("id"))
+        path = F.when(ring, F.col("path")).otherwise(F.concat(above, "path")).alias("path")
+        done = todo.select(*channel, "id", F.when(~ring, F.col("_next")).alias("_to"), path, ring.alias("_ring"))
         rows = cut(rows.filter("_to IS NULL").unionByName(done))
     good = rows.select(*channel, "id", F.when(F.col("_to").isNull() & ~F.col("_ring"), F.col("path")).alias("path"))
     return messages.join(good, [*channel, "id"])
