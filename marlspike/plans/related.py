@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlspike.filterlang import compile_filter
 from marlspike.functions import text as tx
-from marlspike.operators import joins, reviews, vectors
+from marlspike.operators import feed, joins, reviews, vectors
 from marlspike.operators.ordered import rank_in
 from marlspike.plans.core import _CH, _LEVEL, _STATS, _changes, _stats, micros, query
 from marlspike.session import latest, load, small
@@ -178,3 +178,46 @@ def vec_id_or_text(spark, d):
 @query("SELECT doc_id, true AS absolute FROM documents WHERE starts_with(url, 'https://') UNION ALL SELECT doc_id, false FROM documents WHERE url IS NULL")
 def url_absolute(spark, d):
     return load(spark, d, "documents").select("doc_id", vectors.is_url(F.col("url")).alias("absolute"))
+
+
+_FINE = "len(vec) = 64 AND list_aggregate(list_transform(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x)), 'bool_or') = false"
+
+
+@query("SELECT id, mod_time FROM (SELECT id, mod_time, vec, row_number() OVER (PARTITION BY id ORDER BY mod_time DESC) r FROM doc_vector) WHERE r = 1 AND len(vec) = 64")
+def vec_batch_ops(spark, d):
+    """A batch of stored vectors applied in order; one of another length deletes its id."""
+    v = load(spark, d, "doc_vector").select("id", "mod_time", (F.coalesce(F.size("vec"), F.lit(-1)) != 64).alias("gone"))
+    return feed.apply_ops(v.withColumn("at", F.col("mod_time")), "id", ["mod_time"], F.col("gone"), "at").withColumnRenamed("at", "mod_time")
+
+
+@query(f"SELECT id, mod_time, CASE WHEN sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) <= 1e-10 THEN 0.0 ELSE 1.0 END AS norm FROM doc_vector WHERE {_FINE}")
+def vec_normalize(spark, d):
+    v = load(spark, d, "doc_vector").filter(F.size("vec") == 64)
+    v = v.filter(F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
+    unit = v.select("id", "mod_time", vectors.normalize(F.col("vec")).alias("u"))
+    return unit.select("id", "mod_time", F.round(F.sqrt(vectors.dot(F.col("u"), F.col("u"))), 4).alias("norm"))
+
+
+# ---- stored fields (AG-8, ST-15, CL-13)
+
+
+@query(f"SELECT project, number, coalesce(total_comment_count, 0) AS total, coalesce(unresolved_comment_count, 0) AS unresolved FROM {_CH}")
+def change_comment_counts(spark, d):
+    c = _changes(spark, d, "total_comment_count", "unresolved_comment_count")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return c.select("project", "number", zero("total_comment_count").alias("total"), zero("unresolved_comment_count").alias("unresolved"))
+
+
+@query("SELECT project, id, mod_time, label IS NOT NULL AS labelled, coalesce(label.name, '') AS name FROM issue_event")
+def json_roundtrip(spark, d):
+    """Labels encoded as JSON, stored and decoded again."""
+    e = load(spark, d, "issue_event").select("project", "id", "mod_time", F.to_json("label").alias("j"))
+    back = F.from_json("j", "name string, description string, color string")
+    return e.select("project", "id", "mod_time", F.col("j").isNotNull().alias("labelled"), F.coalesce(back["name"], F.lit("")).alias("name"))
+
+
+@query("SELECT category, count(*) AS n FROM (SELECT trim(unnest(string_split(array_to_string(hashtags, ', '), ','))) AS category FROM change_info) WHERE category <> '' GROUP BY 1")
+def stored_categories(spark, d):
+    """Categories stored as one text with commas."""
+    c = load(spark, d, "change_info").select(F.array_join("hashtags", ", ").alias("stored"))
+    return c.select(F.explode(F.transform(F.split("stored", ","), lambda x: F.trim(x))).alias("category")).filter("category <> ''").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
