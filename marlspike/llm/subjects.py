@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import functools
 import html
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,9 @@ _NO_LANGUAGE = ("mu", "zx", "un", "mi")
 BUCKETS = 1 << 16
 #: Numbers in a document vector.
 DIM = 256
+#: Vectors are clustered as whole numbers of about ``LENGTH``, at most ``BLOCK`` at a time, and split by directions of about ``REACH``:
+#: products and sums stay below 2 ** 24, so float32 has them exact, in whatever order they are added.
+LENGTH, REACH, BLOCK = 127, 100_000, 4096
 
 ROWS = "doc_id bigint, lang string, words array<int>, sizes array<int>, terms array<int>"
 
@@ -154,47 +158,197 @@ def vector(terms: np.ndarray, idf: np.ndarray, signs: tuple[np.ndarray, np.ndarr
     return (v / norm if norm > 1e-9 else v).astype(np.float32)
 
 
-def bisect(vectors: np.ndarray, leaves: int, least: int = 8, tries: int = 3, steps: int = 12, seed: int = 11) -> np.ndarray:
-    """Centres of at most ``leaves`` clusters of unit vectors, by repeated two-means on the cluster with the largest error.
+def _unit(c: np.ndarray) -> np.ndarray:
+    return c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-9)
+
+
+def _whole(v: np.ndarray) -> np.ndarray:
+    """Vectors as whole numbers of a byte; zero stays zero."""
+    return np.rint(_unit(v) * LENGTH).astype(np.int8)
+
+
+def _toward(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The direction that parts what is nearer to ``right`` from what is nearer to ``left``."""
+    return np.rint(_unit(_unit(right) - _unit(left)) * REACH).astype(np.float32)
+
+
+class _Node:
+    """A node of a language's tree: how many vectors it holds, their lengths (in 1,024ths) and sum, and its split, if it has one."""
+
+    def __init__(self, error: float, n: int, norm: int = 0, s: np.ndarray | None = None, split: np.ndarray | None = None):
+        self.n, self.split, self.s = n, split, s
+        self.error = error  # negative: nothing to split
+        self.tries: list[dict] | None = None  # None until vectors to start from are drawn
+        if s is not None:
+            self.fill(n, norm, s)
+
+    def fill(self, n: int, norm: int, s: np.ndarray) -> None:
+        self.n, self.norm, self.s = int(n), int(norm), s
+        self.error = min(self.error, self.norm / 1024 - float(np.linalg.norm(s)))  # a part has no larger error than the whole
 
-    Clusters below ``least`` members aren't split. The result depends on nothing but the arguments.
+    def live(self) -> list[dict]:
+        return [t for t in self.tries if not t["done"]]
+
+
+def _tally(v: np.ndarray, top: str, splits: dict[str, np.ndarray], work: dict[str, np.ndarray | None], draws: int, seed: int) -> dict[str, tuple]:
+    """What at most ``BLOCK`` vectors below the node ``top`` add to each node in ``work``: number, lengths, sum, vectors drawn.
+
+    With directions, they are those of the vectors on the right of each. Without, they are those of all, and of the distinct
+    vectors the ``draws`` with the lowest hashes are drawn. ``splits``: directions of the nodes above, parents first.
+    """
+    x = v.astype(np.float32)
+    held = _below(x, top, splits)
+    out = {}
+    for path, w in work.items():
+        at = held[path]
+        if not len(at):
+            continue
+        own = x[at]
+        norm = np.rint(np.sqrt(np.einsum("ij,ij->i", own, own).astype(np.float64)) * 1024).astype(np.int64)
+        if w is None:
+            salt = xxhash.xxh3_64_intdigest(path, seed)
+            low = sorted({(xxhash.xxh3_64_intdigest(raw, salt), raw) for raw in map(bytes, v[at])})[:draws]
+            out[path] = (np.int64(len(at)), norm.sum(), v[at].sum(axis=0, dtype=np.int64), low)
+        else:
+            right = own @ w.T > 0
+            out[path] = (right.sum(axis=0), norm @ right, (right.T.astype(np.float32) @ own).astype(np.int64), [])
+    return out
+
+
+def _below(x: np.ndarray, top: str, splits: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Where the vectors of each node are among those of ``top``; a node's path is its parent's with 0 or 1."""
+    held = {top: np.arange(len(x))}
+    if splits:
+        sides = x @ np.stack(list(splits.values())).T > 0
+        for j, path in enumerate(splits):
+            at = held[path]
+            held[path + "0"], held[path + "1"] = at[~sides[at, j]], at[sides[at, j]]
+    return held
+
+
+def _add(total: dict, more: dict, draws: int) -> dict:
+    """Add the tallies of ``more`` to ``total``."""
+    for at, new in more.items():
+        old = total.get(at)
+        total[at] = new if old is None else (old[0] + new[0], old[1] + new[1], old[2] + new[2], sorted({*old[3], *new[3]})[:draws])
+    return total
+
+
+def _tallied(blocks: Iterable[tuple[int, np.ndarray]], draws: int, seed: int, splits: dict, work: dict, top: str = "") -> dict:
+    """The sums of ``_tally`` by (language, path) over blocks of (language, vectors)."""
+    total: dict = {}
+    for lang, v in blocks:
+        if lang in work:
+            _add(total, {(lang, path): x for path, x in _tally(v, top, splits[lang], work[lang], draws, seed).items()}, draws)
+    return total
+
+
+def _ranked(nodes: dict, lang: int, leaves: int) -> list[str]:
+    """The paths of the nodes of a language to split: the ``leaves`` - 1 with the largest errors, as no part has a larger error than the whole."""
+    ranked = sorted((-n.error, len(path), path) for (of, path), n in nodes.items() if of == lang and n.error > 0)
+    return [path for _, _, path in ranked[: max(leaves - 1, 0)]]
+
+
+def _above(nodes: dict, lang: int, paths: Iterable[str], top: str = "") -> dict[str, np.ndarray]:
+    """The directions of all nodes from ``top`` to the parents of ``paths``, parents first."""
+    every = {path[:i] for path in paths for i in range(len(top), len(path))}
+    return {path: nodes[lang, path].split for path in sorted(every, key=lambda path: (len(path), path))}
+
+
+def grow(
+    nodes: dict[tuple[int, str], _Node],
+    tally: Callable[[dict, dict], dict],
+    leaves: int,
+    least: int = 8,
+    steps: int = 12,
+    top: str = "",
+    floor: float = 0.0,
+    held: int = -1,
+    finish: Callable[[dict], dict] | None = None,
+    at_once: int = 1 << 30,
+) -> dict[tuple[int, str], _Node]:
+    """Split the node ``top`` of each language into at most ``leaves``, by repeated two-means on the part with the largest error.
+
+    ``tally(splits, work)`` goes over all vectors and gives the sums of ``_tally`` by (language, path). Nodes are worked on side by
+    side, up to ``at_once`` in a pass, each in several tries of up to ``steps`` passes. Parts below ``least`` members or with
+    an error below ``floor`` aren't split. Parts of at most ``held`` vectors are left to ``finish``, which gives the nodes below them.
     """
-    rng = np.random.default_rng(seed)
 
-    def unit(c: np.ndarray) -> np.ndarray:
-        return c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-9)
-
-    def error(at: np.ndarray) -> float:
-        return len(at) - float(np.linalg.norm(vectors[at].sum(axis=0))) if len(at) >= least else -1.0
-
-    def halves(at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        v, best = vectors[at], None
-        for _ in range(tries):
-            c = v[rng.choice(len(at), 2, replace=False)]
-            for _ in range(steps):
-                right = (v @ (c[1] - c[0])) > 0
-                if right.all() or not right.any():
-                    break
-                c = unit(np.stack([v[~right].sum(axis=0), v[right].sum(axis=0)]))
-            if right.any() and not right.all():
-                fit = float(np.where(right, v @ c[1], v @ c[0]).sum())
-                if best is None or fit > best[0]:
-                    best = (fit, right)
-        return None if best is None else (at[~best[1]], at[best[1]])
-
-    parts = [np.flatnonzero(np.abs(vectors).sum(axis=1) > 0)]
-    errors = [error(parts[0])]
-    while len(parts) < leaves and max(errors) > 1e-6:
-        worst = int(np.argmax(errors))
-        two = halves(parts[worst])
-        if two is None:
-            errors[worst] = -1.0
+    def start(node: _Node, n: int, norm: int, s: np.ndarray, low: list) -> None:
+        node.fill(n, norm, s)
+        v = [np.frombuffer(raw, np.int8).astype(np.float64) for _, raw in low]
+        node.tries = [{"w": _toward(*v[i : i + 2]), "steps": 0, "done": False, "got": None} for i in range(0, len(v) - 1, 2)]
+        if node.n < least or not node.tries:
+            node.error = -1.0
+
+    def step(lang: int, path: str, n: np.ndarray, norm: np.ndarray, s: np.ndarray) -> None:
+        node = nodes[lang, path]
+        for i, t in enumerate(node.live()):
+            same = t["got"] is not None and t["got"][0] == n[i] and (t["got"][2] == s[i]).all()
+            t["steps"] += 1
+            t["got"] = (n[i], norm[i], s[i]) if 0 < n[i] < node.n else None
+            t["done"] = same or t["got"] is None or t["steps"] == steps
+            if not t["done"]:
+                t["w"] = _toward(node.s - s[i], s[i])
+        if node.live():
+            return
+        fits = [-1.0 if t["got"] is None else float(np.linalg.norm(t["got"][2]) + np.linalg.norm(node.s - t["got"][2])) for t in node.tries]
+        best = node.tries[int(np.argmax(fits))]
+        if best["got"] is None:
+            node.error = -1.0
+            return
+        n, norm, s = best["got"]
+        node.split = best["w"]
+        nodes[lang, path + "0"] = _Node(node.error, node.n - n, node.norm - norm, node.s - s)
+        nodes[lang, path + "1"] = _Node(node.error, n, norm, s)
+
+    langs = sorted({lang for lang, _ in nodes})
+    while True:
+        todo = [(lang, top) for lang in langs if nodes[lang, top].s is None]
+        todo = todo or [(lang, path) for lang in langs for path in _ranked(nodes, lang, leaves) if nodes[lang, path].split is None and nodes[lang, path].error >= floor]
+        large = sorted((x for x in todo if nodes[x].n > held), key=lambda x: (-nodes[x].error, x))[:at_once]
+        if not todo:
+            return nodes
+        if not large:
+            done = finish({x: nodes[x].error for x in todo})
+            for x in todo:
+                nodes[x] = _Node(-1.0, 0, s=np.zeros(DIM, np.int64))
+            nodes |= done
             continue
-        parts[worst], errors[worst] = two[0], error(two[0])
-        parts.append(two[1])
-        errors.append(error(two[1]))
-    parts = [p for p in parts if len(p)]
-    return unit(np.stack([vectors[p].sum(axis=0) for p in parts])) if parts else np.zeros((0, DIM), np.float32)
+        work: dict = {}
+        for lang, path in large:
+            node = nodes[lang, path]
+            work.setdefault(lang, {})[path] = None if node.tries is None else np.stack([t["w"] for t in node.live()])
+        got = tally({lang: _above(nodes, lang, of, top) for lang, of in work.items()}, work)
+        for lang, path in large:
+            node = nodes[lang, path]
+            if node.tries is None:
+                start(node, *got.get((lang, path), (0, 0, np.zeros(DIM, np.int64), [])))
+            else:
+                step(lang, path, *got[lang, path][:3])
+
+
+def _grown(blocks: list[np.ndarray], leaves: int, lang: int = 0, top: str = "", error: float = np.inf, floor: float = 0.0, least: int = 8, tries: int = 3, steps: int = 12, seed: int = 11) -> dict:
+    """The nodes of a tree over vectors that are held here."""
+    tally = functools.partial(_tallied, [(lang, v) for v in blocks], 2 * tries, seed, top=top)
+    return grow({(lang, top): _Node(error, sum(map(len, blocks)))}, tally, leaves, least, steps, top, floor)
+
+
+def _centres(nodes: dict, lang: int, leaves: int) -> np.ndarray:
+    split = set(_ranked(nodes, lang, leaves))
+    ends = sorted({path + side for path in split for side in "01"} - split) or [""]
+    sums = [nodes[lang, path].s for path in ends if nodes[lang, path].n]
+    return _unit(np.array(sums, np.float64).reshape(-1, DIM)).astype(np.float32)
+
+
+def _blocks(v: np.ndarray) -> list[np.ndarray]:
+    return [v[i : i + BLOCK] for i in range(0, len(v), BLOCK)]
+
+
+def bisect(vectors: np.ndarray, leaves: int, least: int = 8, tries: int = 3, steps: int = 12, seed: int = 11) -> np.ndarray:
+    """Centres of at most ``leaves`` clusters of the vectors that aren't zero. The result depends on nothing but the arguments, and not on the vectors' order."""
+    nodes = _grown(_blocks(_whole(vectors[np.abs(vectors).sum(axis=1) > 0])), leaves, least=least, tries=tries, steps=steps, seed=seed)
+    return _centres(nodes, 0, leaves)
 
 
 class Leaves:
@@ -207,37 +361,90 @@ class Leaves:
         self.lang = np.repeat(np.arange(len(centres)), sizes)
 
 
-def fit_leaves(rows: DataFrame, langs: Languages, leaves: int, max_fitted: int, seed: int) -> Leaves:
-    """Leaves fitted on at most about ``max_fitted`` documents, the same number of each language where there are so many.
+def fit_leaves(rows: DataFrame, langs: Languages, leaves: int, seed: int, held: int = 1 << 18, tries: int = 3) -> Leaves:
+    """Leaves fitted on all documents, each language alone.
 
-    Documents are drawn by a hash of their id; each language is fitted alone.
+    Parts of a tree with up to ``held`` documents are grown in one task each. What is larger is split by passes over all vectors,
+    which lie in the shared folder, and only sums come to the driver. The sums are exact, so ``held`` doesn't change the leaves.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(langs)
-    share = max_fitted / len(langs.names)
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(langs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, signs = shared.value, _signs()
+        kept: dict[int, list[bytes]] = {}
+
+        def blocks() -> pd.DataFrame:
+            out = [(lang, b"".join(vs[i : i + BLOCK])) for lang, vs in kept.items() for i in range(0, len(vs), BLOCK)]
+            kept.clear()
+            return pd.DataFrame(out, columns=["lang", "v"])
+
         for b in batches:
-            out = []
-            for i, terms in zip(b["doc_id"], b["terms"]):
+            for terms in b["terms"]:
                 lang = known.of(np.unique(terms))
-                out.append((i, lang, vector(terms, known.idf[lang], signs).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "v"])
-
-    n = np.exp(langs.prior) * rows.count()
-    # Every language's share of the hash range; the language a document is read in decides, so it is found first.
-    keep = np.minimum(1.0, share / np.maximum(n, 1.0))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(keep.max() * (1 << 30)) + 1)
-    got = drawn.select("doc_id", "terms").mapInPandas(run, "doc_id bigint, lang int, v binary")
-    bound = F.array(*(F.lit(int(x * (1 << 30)) + 1) for x in keep))
-    got = got.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < F.get(bound, F.col("lang"))).toPandas()
-    got = got.sort_values(["doc_id", "v"], ignore_index=True)
-    centres = []
-    for lang in range(len(langs.names)):
-        raw = got.loc[got["lang"] == lang, "v"]
-        v = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(-1, DIM) if len(raw) else np.zeros((0, DIM), np.float32)
-        centres.append(bisect(v, leaves, seed=seed))
-    return Leaves(centres)
+                v = _whole(vector(terms, known.idf[lang], signs))
+                if v.any():
+                    kept.setdefault(lang, []).append(v.tobytes())
+            if sum(map(len, kept.values())) >= 4 * BLOCK:
+                yield blocks()
+        yield blocks()
+
+    def parsed(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        return ((int(lang), np.frombuffer(v, np.int8).reshape(-1, DIM)) for lang, v in zip(b["lang"], b["v"]))
+
+    stored = rows.select("terms").mapInPandas(run, "lang int, v binary")
+    docs = rows.count()
+    if docs > held:
+        stored = cut(stored)
+
+    def tally(splits: dict, work: dict) -> dict:
+        sent = sc.broadcast((splits, work))
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({"part": [pickle.dumps(_tallied((x for b in batches for x in parsed(b)), 2 * tries, seed, *sent.value))]})
+
+        total: dict = {}
+        for r in stored.mapInPandas(part, "part binary").collect():  # a row per partition, bounded by at_once
+            _add(total, pickle.loads(r["part"]), 2 * tries)
+        sent.destroy()
+        return total
+
+    def finish(errors: dict[tuple[int, str], float]) -> dict:
+        asked: dict = {}
+        for lang, path in errors:
+            asked.setdefault(lang, []).append(path)
+        last = {lang: nodes[lang, r[-1]].error if len(r := _ranked(nodes, lang, leaves)) == leaves - 1 > 0 else 0.0 for lang in asked}
+        floors = {lang: error if np.isfinite(error) else 0.0 for lang, error in last.items()}
+        sent = sc.broadcast((asked, {lang: _above(nodes, lang, paths) for lang, paths in asked.items()}, errors, floors))
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked, above, _, _ = sent.value
+            for b in batches:
+                for lang, v in parsed(b):
+                    if lang in asked:
+                        at = _below(v.astype(np.float32), "", above[lang])
+                        out = [(lang, path, v[at[path]].tobytes()) for path in asked[lang] if len(at[path])]
+                        yield pd.DataFrame(out, columns=["lang", "path", "v"])
+
+        def one(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            lang, top = int(key[0]), key[1]
+            v = np.frombuffer(b"".join(b["v"]), np.int8).reshape(-1, DIM)
+            grown = _grown(_blocks(v), leaves, lang, top, sent.value[2][lang, top], sent.value[3][lang], tries=tries, seed=seed)
+            out = {x: _Node(n.error, n.n, n.norm, n.s, n.split) for x, n in grown.items()}
+            return pd.DataFrame({"part": [pickle.dumps(out)]})
+
+        parts = stored.mapInPandas(split, "lang int, path string, v binary").groupBy("lang", "path").applyInPandas(one, "part binary")
+        out: dict = {}
+        for r in parts.collect():  # at most 2 * leaves nodes for each part asked for
+            out |= pickle.loads(r["part"])
+        sent.destroy()
+        return out
+
+    # The sums of all partitions together take some 64 MB at most.
+    at_once = max(1, (64 << 20) // (stored.rdd.getNumPartitions() * tries * DIM * 10))
+    nodes = {(lang, ""): _Node(np.inf, docs) for lang in range(len(langs.names))}
+    grow(nodes, tally, leaves, held=held, finish=finish, at_once=at_once)
+    return Leaves([_centres(nodes, lang, leaves) for lang in range(len(langs.names))])
 
 
 def leaf_terms(rows: DataFrame, langs: Languages, leaves: Leaves) -> DataFrame:
@@ -290,14 +497,10 @@ def discriminative(counts: DataFrame, leaves: Leaves, g_least: float = 15.0, lif
     return tuple(got[c].to_numpy(dtype=t) for c, t in (("leaf", np.int64), ("k", np.int64), ("odds", np.float64), ("g", np.float64)))
 
 
-def subject_terms(rows: DataFrame, labels: DataFrame, areas: list[str], max_labelled: int) -> np.ndarray:
-    """Labelled documents with each bucket, by area (buckets x areas).
-
-    At most ``max_labelled`` labels count, drawn by a hash; a document with several counts in parts.
-    """
+def subject_terms(rows: DataFrame, labels: DataFrame, areas: list[str]) -> np.ndarray:
+    """Labelled documents with each bucket, by area (buckets x areas); a document with several counts in parts."""
     index = F.create_map(*(x for i, a in enumerate(areas) for x in (F.lit(a.strip().lower()), F.lit(i))))
     told = labels.select("doc_id", index[F.lower(F.trim("subject"))].alias("a")).filter("doc_id IS NOT NULL AND a IS NOT NULL").distinct()
-    told = told.orderBy(F.xxhash64("doc_id", "a")).limit(max_labelled)
     part = told.groupBy("doc_id").agg(F.collect_list("a").alias("areas"))  # at most one entry per area
     one = rows.join(part, "doc_id").select(F.explode(F.array_distinct("terms")).alias("k"), F.explode(F.sort_array("areas")).alias("a"), F.size("areas").alias("m"))
     got = one.groupBy("k", "a").agg(F.sum(1 / F.col("m")).alias("n")).toPandas()
@@ -427,16 +630,14 @@ def subjects(
     areas: list[str],
     share: float = 0.22,
     leaves: int = 32,
-    max_fitted: int = 60_000,
-    max_labelled: int = 500_000,
     seed: int = 11,
     rename: dict[int, int] | None = None,
 ) -> DataFrame:
     """The areas of each document: (doc_id, subject, share), share being its part of the words of the prose.
 
     ``docs``: ``doc_id``, ``text``, and ``lang`` if known; ``labels``: ``doc_id``, ``subject``, some wrong or missing;
-    ``areas``: the names. ``leaves`` is the most per language. Leaves are fitted on about ``max_fitted`` documents and
-    named with the help of at most ``max_labelled`` labels; all other counts and all results cover every document.
+    ``areas``: the names. ``leaves`` is the most per language. Leaves are fitted on all documents and
+    named with the help of all labels; all counts and all results cover every document.
     ``rename`` replaces the areas of leaves by others, to see what the leaves decide.
     Documents with null or blank text, and all documents if nothing is labelled, get no subjects; copies count like
     other documents; repeated ids are one document; other columns are ignored; whole texts are read.
@@ -446,11 +647,11 @@ def subjects(
     rows = cut(passage_rows(docs)) if areas else None
     if rows is None or not rows.limit(1).count():
         return none
-    labelled = subject_terms(rows, labels, areas, max_labelled)
+    labelled = subject_terms(rows, labels, areas)
     if not labelled.any():
         return none
     langs = languages(rows)
-    ls = fit_leaves(rows, langs, leaves, max_fitted, seed)
+    ls = fit_leaves(rows, langs, leaves, seed)
     if not len(ls.centres):
         return none
     counts = leaf_terms(rows, langs, ls)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspike.llm import mixing
+from marlspike.llm import subjects as module
 from marlspike.llm.subjects import DIM, bisect, mixed_subjects, passages, subjects
 
 needs_vocabulary = pytest.mark.skipif(not os.path.isdir(mixing.TOKENIZERS), reason="no vocabulary")
@@ -132,6 +133,46 @@ def test_bisect_separates_bundles():
     assert bisect(v[:0], 4).shape == (0, DIM) and len(bisect(np.repeat(v[:1], 50, axis=0), 4)) == 1
 
 
+def test_leaves_are_fitted_on_all_documents(spark, monkeypatch):
+    word = lambda *at: " ".join("".join(chr(97 + int(d)) for d in str(10007 * (a + 1))) for a in at)
+    rare = {61_000 + i: word(*range(500 + 9 * i, 509 + 9 * i)) for i in range(8)}
+    d = spark.createDataFrame([(i, word(*range(9 * i, 9 * i + 9))) for i in range(20)], "c int, words string")
+    d = spark.range(61_000).selectExpr("id AS doc_id", "int(id % 20) AS c", "if(id % 50 = 7, 'de', 'en') AS lang").join(d, "c")
+    d = d.selectExpr("doc_id", "words AS text", "lang").union(spark.createDataFrame([(i, x, "en") for i, x in rare.items()], "doc_id bigint, text string, lang string"))
+    seen = []
+
+    def captured(rows, langs, leaves):
+        seen.append((rows, langs, leaves))
+        raise InterruptedError
+
+    monkeypatch.setattr(module, "leaf_terms", captured)
+    with pytest.raises(InterruptedError):
+        subjects(d, spark.createDataFrame([(1, "law")], "doc_id bigint, subject string"), ["law"])
+    rows, langs, leaves = seen[0]
+    near = {}
+    for r in rows.filter("doc_id >= 61000").collect():
+        terms = np.array(r.terms)
+        lang = langs.of(np.unique(terms))
+        of = leaves.centres[leaves.first[lang] : leaves.first[lang + 1]]
+        near[r.doc_id] = float((of @ module.vector(terms, langs.idf[lang], module._signs())).max())
+    assert len(near) == 8 and min(near.values()) > 0.3, near  # a document that isn't fitted has no leaf near it
+
+
+def test_leaves_do_not_depend_on_where_they_are_fitted(spark):
+    docs, _ = corpus()
+    rows = module.passage_rows(spark.createDataFrame([(i, x, "de" if i % 3 else "en") for i, x in docs], "doc_id bigint, text string, lang string").repartition(7)).cache()
+    langs = module.languages(rows)
+    one, parts, passes = (module.fit_leaves(rows, langs, 9, 11, held) for held in (10**6, 150, 0))
+    assert len(one.centres) == 18 and (one.centres == parts.centres).all() and (one.centres == passes.centres).all()
+    assert (one.first == parts.first).all() and len(module.fit_leaves(rows, langs, 1, 11, 0).centres) == 2
+
+
+def test_all_labels_count(spark):
+    rows = spark.range(0, 600_000, 600).selectExpr("id AS doc_id", "array(3, 3, 4) AS terms")
+    labelled = module.subject_terms(rows, spark.range(600_000).selectExpr("id AS doc_id", "'law' AS subject"), ["law"])
+    assert labelled[3, 0] == labelled[4, 0] == 1000 and labelled.sum() == 2000
+
+
 def test_mixture_to_subjects_against_sql(spark):
     import duckdb
     import pandas as pd
